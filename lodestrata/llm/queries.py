@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op2_best_fit_packing
 from .sstable import op8_token_shards
 
-QUERIES = {"op8_token_shards": op8_token_shards}
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_token_shards": op8_token_shards,
+}
 ORACLES: dict[str, str] = {}
