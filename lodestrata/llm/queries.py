@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_formatting
 from .packing import op2_best_fit_packing
 from .sstable import op8_token_shards
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_token_shards": op8_token_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": OP1_SQL,
+}
