@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_formatting
+from .decontam import OP10_SQL, op10_benchmark_decontamination
 from .packing import op2_best_fit_packing
 from .sstable import op8_token_shards
 
@@ -10,7 +11,9 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_token_shards": op8_token_shards,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }
