@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_formatting
 from .decontam import OP10_SQL, op10_benchmark_decontamination
+from .jaccard import OP6_SQL, op6_ngram_jaccard_join
+from .langid import op4_language_id
 from .packing import op2_best_fit_packing
 from .sstable import op8_token_shards
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_shards": op8_token_shards,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
