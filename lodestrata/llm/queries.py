@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat_formatting
 from .decontam import OP10_SQL, op10_benchmark_decontamination
 from .jaccard import OP6_SQL, op6_ngram_jaccard_join
 from .langid import op4_language_id
+from .licenses import op9_license_scans
 from .packing import op2_best_fit_packing
 from .sstable import op8_token_shards
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_shards": op8_token_shards,
+    "op9_license_scans": op9_license_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
