@@ -8,6 +8,7 @@ from .jaccard import OP6_SQL, op6_ngram_jaccard_join
 from .langid import op4_language_id
 from .licenses import op9_license_scans
 from .packing import op2_best_fit_packing
+from .spans import op7_substring_dedup
 from .sstable import op8_token_shards
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_shards": op8_token_shards,
     "op9_license_scans": op9_license_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
