@@ -9,6 +9,7 @@ from .langid import op4_language_id
 from .licenses import op9_license_scans
 from .lines import OP3_SQL, op3_line_dedup
 from .packing import op2_best_fit_packing
+from .search import OP5_SQL, op5_exact_topk_search
 from .spans import op7_substring_dedup
 from .sstable import op8_token_shards
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_exact_topk_search": op5_exact_topk_search,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_shards": op8_token_shards,
@@ -26,6 +28,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op5_exact_topk_search": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }
