@@ -37,14 +37,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, BREAK), lambda w: w != "")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a key that holds for null and repeated ids."""
+def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) with a key that holds for null and repeated ids, and the columns ``keep``."""
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.xxhash64(F.col("doc_id").isNull(), text).alias("h"),
+        *keep,
     )
 
 
@@ -102,8 +103,8 @@ def proximity_matches(entries: DataFrame, places: DataFrame, postings: DataFrame
     return lists.select("item", "id", "h", F.explode(near).alias("x")).select("item", "id", "h", (F.col("x.a") + F.col("x.p")).alias("position")).distinct()
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every document with its exact matches: doc_id, text, n_words, matches, hits.
+def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its exact matches: doc_id, text, the columns ``keep``, n_words, matches, hits.
 
     matches: array of (item_id, start): each occurrence of a window, by its first word; hits: the
     document's words inside any of them, as distinct positions.
@@ -111,14 +112,14 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     entries, places, postings = build_index(docs, items, window)
     found = alignments(entries, places, postings).join(entries, "item")
     found = found.groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "shift", "words", "width")).alias("found"))
-    rows = _documents(docs).join(found, ["id", "h"], "left").select("doc_id", "text", words_of(F.col("text")).alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    rows = _documents(docs, keep).join(found, ["id", "h"], "left").select("doc_id", "text", *keep, words_of(F.col("text")).alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
     def occurrences(a: Column) -> Column:
         same = F.array_join(F.transform(a["words"], lambda w, i: F.when(F.get("words", a["shift"] + i) == w, F.lit("1")).otherwise(F.lit("0"))), "")
         starts = F.filter(F.sequence(F.lit(0), F.size(a["words"]) - a["width"]), lambda i: F.substring(same, i + 1, a["width"]) == F.repeat(F.lit("1"), a["width"]))
         return F.transform(starts, lambda i: F.struct(a["item_id"].alias("item_id"), (a["shift"] + i).alias("start"), a["width"].alias("width")))
 
-    rows = rows.select("doc_id", "text", F.size("words").alias("n_words"), F.flatten(F.transform("found", occurrences)).alias("matches"))
+    rows = rows.select("doc_id", "text", *keep, F.size("words").alias("n_words"), F.flatten(F.transform("found", occurrences)).alias("matches"))
     covered = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["width"] - 1))))
     return rows.withColumn("hits", covered)
 

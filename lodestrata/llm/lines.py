@@ -161,7 +161,6 @@ def _verify(max_edits: int, per_edit: int):
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("removed", pa.list_(pa.int32()))])
     for batch in batches:
         out, n, gone = [], [], []
         for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -173,7 +172,9 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append(text)
             n.append(len(own))
             gone.append(drop)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
+        arrays = [batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.int32()))]
+        names = ["doc_id", "text", "n_lines", "removed", *batch.schema.names[3:]]
+        yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=names)
 
 
 def _release(spark: SparkSession) -> None:
@@ -191,12 +192,14 @@ def _close(a: str, b: str, max_edits: int) -> str:
     return f"abs({a}.n - {b}.n) <= {max_edits} and ({' + '.join(parts)}) <= {2 * max_edits}"
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER_EDIT, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, text) -> doc_id, text without the lines that are alike an earlier one, n_lines (before), removed (places)."""
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER_EDIT, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> doc_id, text without the lines that are alike an earlier one, n_lines (before), removed (places), and the columns ``keep``."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"))
+    own = F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text")
+    kept_too = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    whole, docs = docs.select(*own, *keep), docs.select(*own)
     lines = docs.mapInArrow(_nodes(min_bytes), "id long, t long, place int, h1 long, h2 long, n int, c1 long, c2 long")
     first = F.min(F.struct("id", "t", "place")).alias("first")
     one = lambda c: F.first(c).alias(c)
@@ -235,8 +238,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     _release(spark)
     gone = lines.select("id", "t", "place", "h1", "h2").join(named, ["h1", "h2"]).where(~F.struct("id", "t", "place").eqNullSafe(F.col("kept")))
     gone = gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone"))
-    done = docs.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "text", "gone")
-    return done.mapInArrow(_rebuild, "doc_id long, text string, n_lines long, removed array<int>")
+    done = whole.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", *[f"d.{c}" for c in keep])
+    return done.mapInArrow(_rebuild, "doc_id long, text string, n_lines long, removed array<int>" + kept_too)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, verify) -> DataFrame:
