@@ -243,7 +243,7 @@ def symbol_risk(spark, sf):
     return rows.withColumn("risk", graph.risk_of_symbol(F.col("direct"), F.col("nodes")))
 
 
-@query(prelude("pages", "files", "named", "defs", "q") + "SELECT query, count(*) AS n FROM defs JOIN q ON lower(symbol) = low GROUP BY query")
+@query(prelude("pages", "files", "named", "defs", "q") + "SELECT query, count(*) AS n FROM (SELECT DISTINCT query, symbol, path, kind, line FROM defs JOIN q ON lower(symbol) = low) GROUP BY query")
 def multi_name_lookup(spark, sf):
     return graph.find_definition(X.names(spark, sf), X.wanted(spark, sf)).where("kind <> 'document'").groupBy("query").agg(F.count(F.lit(1)).alias("n"))
 
