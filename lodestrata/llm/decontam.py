@@ -112,7 +112,9 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep:
     entries, places, postings = build_index(docs, items, window)
     found = alignments(entries, places, postings).join(entries, "item")
     found = found.groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "shift", "words", "width")).alias("found"))
-    rows = _documents(docs, keep).join(found, ["id", "h"], "left").select("doc_id", "text", *keep, words_of(F.col("text")).alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
+    # A generated column: a filter on the matches can't be pushed below it, where it would split the text for every word again.
+    one_list = F.explode(F.array(words_of(F.col("text"))))
+    rows = _documents(docs, keep).join(found, ["id", "h"], "left").select("doc_id", "text", *keep, one_list.alias("words"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
     def occurrences(a: Column) -> Column:
         same = F.array_join(F.transform(a["words"], lambda w, i: F.when(F.get("words", a["shift"] + i) == w, F.lit("1")).otherwise(F.lit("0"))), "")
