@@ -32,7 +32,12 @@ from .edits import within
 
 MAX_EDITS, PER_EDIT, MIN_BYTES = 2, 20, 20
 _VALUES = np.random.default_rng(77003).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
-_CLASS = np.random.default_rng(5501).integers(0, 16, 256)
+#: Bytes are counted in 14 classes, seven to a number, each in its own eight bits.
+LANES = 7
+_CLASS = np.random.default_rng(5501).integers(0, 2 * LANES, 256)
+_UNITS = [np.where(_CLASS // LANES == half, U(1) << (U(8) * (_CLASS % LANES).astype(np.uint64)), U(0)) for half in range(2)]
+_MASK = U((1 << 8 * LANES) - 1)
+_BIAS = sum(128 << 8 * k for k in range(LANES))
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +67,8 @@ class _Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def _nodes(min_bytes: int):
-    schema = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64())])
+def _nodes(min_bytes: int, counts: bool):
+    names = ["id", "t", "place", "h1", "h2"] + ["n", "c1", "c2"] * counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,29 +76,21 @@ def _nodes(min_bytes: int):
                 starts, ends, rows, numbers = split_lines(data, offsets)
                 long = ends - starts >= min_bytes
                 starts, ends, rows, numbers = starts[long], ends[long], rows[long], numbers[long]
-                # Bytes of 16 classes, each counted modulo 256.
-                packed = []
-                for half in range(2):
-                    unit = np.where(_CLASS[data] // 8 == half, U(1) << (U(8) * (_CLASS[data] % 8).astype(np.uint64)), U(0))
-                    packed.append(_bytewise(unit, starts, ends))
                 take = pa.array(row + rows)
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers.astype(np.int32))]
                 arrays += [pa.array((_Hashes(data, k).of(starts, ends)).view(np.int64)) for k in range(2)]
-                arrays += [pa.array((ends - starts).astype(np.int32)), *(pa.array(p.view(np.int64)) for p in packed)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                if counts:
+                    arrays.append(pa.array((ends - starts).astype(np.int32)))
+                    for unit in _UNITS:
+                        # Carries between the classes don't matter: differences of two lines' sums have none.
+                        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+                        np.cumsum(unit[data], out=sums[1:])
+                        arrays.append(pa.array(((sums[ends] - sums[starts]) & _MASK).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def _bytewise(unit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of packed bytes over ranges, each byte modulo 256."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    for k in range(8):
-        sums = np.concatenate([[0], np.cumsum((unit >> U(8 * k)) & U(1), dtype=np.int64)])
-        out |= ((sums[ends] - sums[starts]) % 256).astype(np.uint64) << U(8 * k)
-    return out
-
-
 def _keys(max_edits: int, per_edit: int, min_bytes: int):
     schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
 
@@ -183,13 +180,12 @@ def _release(spark: SparkSession) -> None:
 
 
 def _close(a: str, b: str, max_edits: int) -> str:
-    """SQL for a bound: t edits change the counts of byte classes by 2 t at most."""
-    parts = []
-    for c in ("c1", "c2"):
-        for k in range(8):
-            d = f"((shiftrightunsigned({a}.{c}, {8 * k}) & 255) - (shiftrightunsigned({b}.{c}, {8 * k}) & 255))"
-            parts.append(f"least({d} & 255, (-{d}) & 255)")
-    return f"abs({a}.n - {b}.n) <= {max_edits} and ({' + '.join(parts)}) <= {2 * max_edits}"
+    """SQL for a bound: t edits change the counts of byte classes by 2 t at most.
+
+    The difference of two sums has the classes' differences as its digits, from -128 to 127, if they are small.
+    """
+    digits = [f"abs((shiftright({a}.{c} - {b}.{c} + {_BIAS}L, {8 * k}) & 255) - 128)" for c in ("c1", "c2") for k in range(LANES)]
+    return f"abs({a}.n - {b}.n) <= {max_edits} and ({' + '.join(digits)}) <= {2 * max_edits}"
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER_EDIT, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -200,7 +196,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     own = F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text")
     kept_too = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     whole, docs = docs.select(*own, *keep), docs.select(*own)
-    lines = docs.mapInArrow(_nodes(min_bytes), "id long, t long, place int, h1 long, h2 long, n int, c1 long, c2 long")
+    columns = "id long, t long, place int, h1 long, h2 long"
+    lines = docs.mapInArrow(_nodes(min_bytes, True), columns + ", n int, c1 long, c2 long")
     first = F.min(F.struct("id", "t", "place")).alias("first")
     one = lambda c: F.first(c).alias(c)
     places = lambda own: own.groupBy("h1", "h2").agg(first, F.max(F.struct("id", "t", "place")).alias("last"), one("n"), one("c1"), one("c2"))
@@ -232,11 +229,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     _release(spark)
 
     named = nodes.join(label, "node", "left")
-    kept = named.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
+    kept = materialize(named.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first")), "line-first")
     named = named.join(kept, "component", "left").where("class_first is not null or first <> last")
     named = materialize(named.select("h1", "h2", F.coalesce("class_first", "first").alias("kept")), "line-kept")
     _release(spark)
-    gone = lines.select("id", "t", "place", "h1", "h2").join(named, ["h1", "h2"]).where(~F.struct("id", "t", "place").eqNullSafe(F.col("kept")))
+    gone = docs.mapInArrow(_nodes(min_bytes, False), columns).join(named, ["h1", "h2"]).where(~F.struct("id", "t", "place").eqNullSafe(F.col("kept")))
     gone = gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone"))
     done = whole.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", *[f"d.{c}" for c in keep])
     return done.mapInArrow(_rebuild, "doc_id long, text string, n_lines long, removed array<int>" + kept_too)
