@@ -4,8 +4,9 @@ Words are runs of letters, digits and all beyond ASCII, A to Z folded, by 64-bit
 each term, its postings (document, frequency) in document order.  Documents of a shard lie in blocks of ``BLOCK``; of
 each term and block the largest part of a score (its block maximum) is known.  A query sums its terms' maxima
 over a block: where the sum can't beat its k-th best score so far, the block is skipped, as block-max
-WAND skips to the next block; other blocks are scored in full, the most promising first.  The k-th best score is
-carried from shard to shard of a task.
+WAND skips to the next block; other blocks are scored in full.  Lists that hold a good part of a shard's documents
+are kept as rows of a matrix: one product gives their share of every document's score for many queries at once, so that this
+part of a block's bound is exact.  The k-th best score is carried from shard to shard of a task.
 
 Scores use counts of the whole corpus (documents, their mean length, document frequencies), so that the best of
 the shards' best are the best of all.  Ranks: score rounded to 6 places, then doc_id (nulls last).
@@ -36,6 +37,8 @@ SHARD_DOCS = 2048
 #: Terms of all queries of one block: 12 bytes each are broadcast.
 BLOCK_TERMS = 2_000_000
 MARGIN = 1e-5
+#: A list with more than this share of a shard's documents is kept as a matrix row; queries that are multiplied at a time.
+DENSE, BATCH = 1 / 32, 256
 
 _SHARD = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tfs", pa.binary())])
 
@@ -120,71 +123,91 @@ class Shard:
     """A shard's postings of those terms that a block of queries has, with their block maxima."""
 
     def __init__(self, row: dict, wanted: np.ndarray, mean_size: float):
-        self.ids, sizes = row["ids"], np.array(row["sizes"], dtype=np.float64)
+        sizes = np.array(row["sizes"], dtype=np.float64)
+        self.ids = np.array([2**63 - 1 if i is None else i for i in row["ids"]], dtype=np.int64)
+        self.null = np.array([i is None for i in row["ids"]], dtype=bool)
         terms, counts = _unpack(row["terms"], "<u8"), _unpack(row["counts"], "<u4").astype(np.int64)
         docs, tfs = _unpack(row["docs"], "<u2"), _unpack(row["tfs"], "<u4")
         ends = np.cumsum(counts)
         place = np.searchsorted(terms, wanted)
         place[place == len(terms)] = 0
         has = terms[place] == wanted if len(terms) else np.zeros(len(wanted), dtype=bool)
-        mine = place[has]
-        self.number = np.where(has, np.cumsum(has) - 1, -1)  # of a wanted term here
-        at = _ranges(ends[mine] - counts[mine], ends[mine])
-        self.docs, tf = docs[at].astype(np.int64), tfs[at].astype(np.float64)
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / mean_size)) if len(at) else np.zeros(0)
         self.blocks = -(-len(self.ids) // BLOCK)
-        cell = np.repeat(np.arange(len(mine)), counts[mine]) * self.blocks + self.docs // BLOCK
-        self.at = np.searchsorted(cell, np.arange(len(mine) * self.blocks + 1))
-        self.most = np.zeros(len(mine) * self.blocks)
+        self.width = self.blocks * BLOCK
+        often = has.copy()
+        often[has] = counts[place[has]] > DENSE * len(self.ids)
+        rare = has & ~often
+        # The number of a wanted term among the matrix rows, and among the lists; -1: not there.
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.list = np.where(rare, np.cumsum(rare) - 1, -1)
+
+        def postings(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = _ranges(ends[mine] - counts[mine], ends[mine])
+            doc, tf = docs[at].astype(np.int64), tfs[at].astype(np.float64)
+            return np.repeat(np.arange(len(mine)), counts[mine]), doc, tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_size)) if len(at) else np.zeros(0)
+
+        number, doc, part = postings(place[often])
+        self.matrix = np.zeros((int(often.sum()), self.width))
+        self.matrix[number, doc] = part
+        number, self.docs, self.part = postings(place[rare])
+        cell = number * self.blocks + self.docs // BLOCK
+        lists = int(rare.sum())
+        self.at = np.searchsorted(cell, np.arange(lists * self.blocks + 1))
+        self.most = np.zeros(lists * self.blocks)
         if len(cell):
             first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             self.most[cell[first]] = np.maximum.reduceat(self.part, first)
-        self.most = self.most.reshape(len(mine), self.blocks)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of all that may be among the k best, given that ``least`` is to be reached."""
-        number = self.number[terms]
+        self.most = self.most.reshape(lists, self.blocks)
+
+    def dense(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query (terms, weights) and document the score that frequent terms give."""
+        weights = np.zeros((len(queries), len(self.matrix)))
+        for q, (terms, w) in enumerate(queries):
+            row = self.row[terms]
+            weights[q, row[row >= 0]] = w[row >= 0]
+        return weights @ self.matrix
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, least: float) -> np.ndarray:
+        """Adds the rare terms' part to ``scores`` in all blocks that may reach ``least``; the documents that do."""
+        number = self.list[terms]
         weights, number = weights[number >= 0], number[number >= 0]
-        if not len(number):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[number]
-        order = np.argsort(-bound, kind="stable")
-        found, scores, done, step = [], [], 0, 2
-        while done < self.blocks:
-            some = order[done : done + step]
-            some = np.sort(some[(bound[some] >= least - MARGIN) & (bound[some] > 0)])
-            if not len(some):
-                break  # bounds descend
+        bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + weights @ self.most[number]
+        good = (bound >= least - MARGIN) & (bound > 0)
+        some = np.flatnonzero(good)
+        if not len(some):
+            return some
+        if len(number):
             cells = (number[:, None] * self.blocks + some[None, :]).ravel()
             lo, hi = self.at[cells], self.at[cells + 1]
+            full = hi > lo
+            lo, hi = lo[full], hi[full]
             at = _ranges(lo, hi)
-            sums = np.bincount(self.docs[at], weights=self.part[at] * np.repeat(np.repeat(weights, len(some)), hi - lo), minlength=len(self.ids))
-            hit = np.flatnonzero(sums > max(0.0, least - MARGIN))
-            found.append(hit)
-            scores.append(sums[hit])
-            have = np.concatenate(scores)
-            if len(have) >= k:
-                least = max(least, float(np.partition(have, len(have) - k)[len(have) - k]))
-            done, step = done + step, step * 2
-        return (np.concatenate(found), np.concatenate(scores)) if found else (np.zeros(0, np.int64), np.zeros(0))
+            w = np.repeat(np.repeat(weights, len(some))[full], hi - lo)
+            scores += np.bincount(self.docs[at], weights=self.part[at] * w, minlength=self.width)
+        return np.flatnonzero(np.repeat(good, BLOCK) & (scores > max(0.0, least - MARGIN)))
 
 
 def _search(block, mean_size: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, cuts, terms, weights, wanted = block.value
-        best: list[list[tuple[float, int, int | None]]] = [[] for _ in names]
+        best: list[list[tuple[float, bool, int]]] = [[] for _ in names]
+        own = [slice(cuts[q], cuts[q + 1]) for q in range(len(names))]
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row, wanted, mean_size)
-                for q in range(len(names)):
-                    own = slice(cuts[q], cuts[q + 1])
-                    least = best[q][k - 1][0] if len(best[q]) >= k else 0.0
-                    docs, scores = shard.search(terms[own], weights[own], least, k)
-                    if len(docs):
-                        top = np.flatnonzero(scores >= (np.partition(scores, len(scores) - k)[len(scores) - k] - MARGIN if len(scores) > k else 0))
-                        new = [(round(float(scores[i]), 6), shard.ids[docs[i]]) for i in top]
-                        best[q] = sorted(best[q] + new, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
-        rows = [(q, d, s) for q, own in enumerate(best) for s, d in own]
+                for first in range(0, len(names), BATCH):
+                    some = range(first, min(first + BATCH, len(names)))
+                    dense = shard.dense([(terms[own[q]], weights[own[q]]) for q in some])
+                    for q in some:
+                        least, scores = best[q][k - 1][0] if len(best[q]) >= k else 0.0, dense[q - first]
+                        docs = shard.search(terms[own[q]], weights[own[q]], scores, least)
+                        if len(docs) > k:
+                            found = scores[docs]
+                            docs = docs[found >= np.partition(found, len(found) - k)[len(found) - k] - MARGIN]
+                        if len(docs):
+                            new = [(round(float(scores[i]), 6), bool(shard.null[i]), int(shard.ids[i])) for i in docs]
+                            best[q] = sorted(best[q] + new, key=lambda x: (-x[0], x[1], x[2]))[:k]
+        rows = [(q, None if null else d, s) for q, found in enumerate(best) for s, null, d in found]
         yield pa.RecordBatch.from_arrays(
             [pa.array([names[q][0] for q, _, _ in rows], pa.int64()), pa.array([names[q][1] for q, _, _ in rows], pa.int64()), pa.array([d for _, d, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.float64())],
             names=["number", "query_id", "doc_id", "score"],
