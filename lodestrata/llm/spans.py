@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, U, _powers, chunks, hashes, mix, spans
-from .common import small_batches
+from .common import materialize, small_batches
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
 _STOP = np.zeros(256, dtype=bool)
@@ -121,6 +121,7 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     places = rows.mapInArrow(_spans(min_sentences, min_words, long_words), "id long, t long, h long, start int, size int")
     place = F.struct("id", "t", "start")
     first = places.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    first = materialize(first, "repeated-spans")  # joined as a table of its own, so that Spark can split the places of one hash
     later = places.join(first, "h").where(~place.eqNullSafe(F.col("first")))
     later = later.groupBy("id", "t").agg(F.collect_set(F.struct("start", "size")).alias("covered"))
     joined = rows.alias("r").join(later.alias("l"), F.expr("r.id <=> l.id and r.t = l.t"), "left")
