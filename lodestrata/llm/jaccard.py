@@ -161,7 +161,7 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 
     label = materialize(components(links).withColumnRenamed("id", "node"), "labels")
     named = nodes.select("node", "least", *key).join(label, "node", "left")
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    smallest = materialize(named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = named.join(smallest, "component", "left").select(*key, F.coalesce("component_id", "least").alias("component_id"))
     found = rows.select("doc_id", *key).join(named, key, "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
