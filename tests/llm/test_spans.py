@@ -1,6 +1,6 @@
 import re
 
-from lodestrata.llm.spans import remove_repeated_spans
+from lodestrata.llm.spans import op7_substring_dedup, remove_repeated_spans
 
 
 def brute(rows, min_sentences=2, min_words=20, long_words=40):
@@ -66,3 +66,42 @@ def test_null_ids_repeats_and_other_columns(spark):
     got = sorted((r["doc_id"] is None, len(r["removed"])) for r in remove_repeated_spans(rows).collect())
     assert got == [(False, 7), (False, 7), (True, 0)]
     assert remove_repeated_spans(rows.limit(0)).count() == 0
+
+
+def brute_passages(rows, size):
+    """Texts without the words that lie in a run of ``size`` words with an earlier place, by dictionaries of word tuples."""
+    first, out = {}, {}
+    fold = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w.strip())
+    for doc, text in sorted(rows):
+        parts = re.findall(r"[^ \t-\r]+[ \t-\r]*", text)
+        gone = set()
+        for i in range(len(parts) - size + 1):
+            d, j = first.setdefault(tuple(map(fold, parts[i : i + size])), (doc, i))
+            if (d, j) != (doc, i):
+                gone |= set(range(max(i, j + size) if d == doc else i, i + size))
+        out[doc] = "".join(p for k, p in enumerate(parts) if k not in gone)
+    return out
+
+
+def test_passages_that_are_not_aligned_to_sentences(spark):
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    cut = " ".join([*word("a", 30)[:-1], "a29.", *word("b", 30)])  # 60 words, the ends of two sentences
+    one = " ".join([*word("c", 15)[:-1], "c14.", *word("d", 30)[:-1], "d29.", *word("e", 9)])  # one whole sentence of 30 words
+    none = " ".join(word("f", 50))
+    rows = [
+        (1, f"Start here {cut} and on. Then {one} so it goes. And {none} of it."), (2, f"Other words {cut.upper()} but not this. Next {one} is new. Or {none} ended."),
+        (3, f"More {cut}"), (4, "w " * 300), (5, " ".join(word("g", 60) * 3)), (6, "Short. Text."),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in remove_repeated_spans(frame, min_words=10**6, long_words=10**6, passage_words=51).collect()}
+    assert {d: r["text"] for d, r in got.items()} == brute_passages(rows, 51)
+    assert got[2]["text"] == f"Other words but not this. Next is new. Or {none} ended."
+    assert (list(got[2]["removed"]), list(got[2]["cut"])) == ([3], [0, 1, 2, 4])
+
+
+def test_query_takes_passages_of_over_50_words(spark, tmp_path):
+    passage = " ".join(f"p{i}" + "." * (i == 25) for i in range(51))
+    spark.createDataFrame([(1, f"First {passage} ends."), (2, f"Second {passage} stays.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_substring_dedup(spark, str(tmp_path)).collect()}
+    assert (got[1]["kept_chars"], got[1]["n_cut"]) == (len(f"First {passage} ends."), 0)
+    assert (got[2]["kept_chars"], got[2]["n_removed"], got[2]["cut"]) == (len("Second stays."), 0, "0,1")
