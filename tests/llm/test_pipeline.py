@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -54,3 +55,25 @@ def test_clashing_columns_and_empty(spark, data):
     for name, stage in P.STAGES:
         docs = stage(spark, docs, data)
     assert docs.count() == 0
+
+
+def test_near_duplicates_against_five_words_and_four_fifths(spark, data):
+    rng, rows = random.Random(3), []
+    words = [f"w{i}" for i in range(3000)]
+    for _ in range(6):
+        base = rng.choices(words, k=120)
+        for changes in (0, 1, 2, 3, 4, 6):
+            own = base[:]
+            for at in rng.sample(range(len(own)), changes):
+                own[at] = "other" + own[at]
+            rows.append((len(rows), " ".join(own)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(116)} for d, t in rows}
+    least = {d: d for d in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[b] = min(least[a], least[b])
+    got = {r["doc_id"] for r in P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
+    assert got == {d for d, m in least.items() if d == m}
+    assert 6 <= len(got) < 36
