@@ -4,7 +4,7 @@ The library's result for a text is the concatenation of its results for the pre-
 its splitting pattern finds, and prose repeats its words.  ``CachedEncoder`` therefore splits a
 text itself, asks the library's model only for pre-tokens that it has not met, and joins ids.
 It does so only for texts made of characters whose Unicode classes no version disputes; all
-other texts go to the library whole.  Strings of special tokens inside a text are ordinary text.
+other texts, and those that hold the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ SPLIT = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\t\n\r 0-9{LETTERS}]+"
     "|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 )
+#: Characters of a string that is remembered.
+LONGEST = 64
 #: Where none of these stands, every space starts a new run of pre-tokens.
 SPACED = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 
@@ -33,14 +35,17 @@ def byte_characters() -> dict[int, str]:
 
 
 class CachedEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; at most ``entries`` strings are remembered."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    At most ``entries`` strings of at most ``LONGEST`` characters are remembered, whichever way a text takes.
+    """
 
     def __init__(self, path: str, entries: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.shown = byte_characters()
@@ -51,6 +56,13 @@ class CachedEncoder:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(found.ids, dtype="<u4").tobytes()
 
+    def _remember(self, string: str, ids: bytes) -> bytes:
+        if len(string) <= LONGEST:
+            if len(self.known) >= self.entries:
+                self.known.clear()
+            self.known[string] = ids
+        return ids
+
     def _run(self, run: str) -> bytes:
         """Ids of what lies between two spaces, with the space before it."""
         known, packed, out = self.known, self.packed, []
@@ -58,7 +70,7 @@ class CachedEncoder:
             ids = known.get(piece)
             if ids is None:
                 word = piece.encode("utf-8").decode("latin-1").translate(self.shown)
-                known[piece] = ids = b"".join([packed[t.id] for t in self.model.tokenize(word)])
+                ids = self._remember(piece, b"".join([packed[t.id] for t in self.model.tokenize(word)]))
             out.append(ids)
         return b"".join(out)
 
@@ -66,20 +78,18 @@ class CachedEncoder:
         """A null text has no ids."""
         if not text:
             return b""
-        if not SAFE.fullmatch(text):
+        if not SAFE.fullmatch(text) or any(a in text for a in self.added):
             return self.library(text)
         if any(x in text for x in SPACED):
             return self._run(text)
         known = self.known
-        if len(known) > self.entries:
-            known.clear()
         first, *rest = text.split(" ")
         out = [self._run(first)]
         for word in rest:
             run = " " + word
             ids = known.get(run)
             if ids is None:
-                known[run] = ids = self._run(run)
+                ids = self._remember(run, self._run(run))
             out.append(ids)
         return b"".join(out)
 

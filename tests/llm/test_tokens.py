@@ -7,28 +7,49 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestrata.llm import packing, sstable
 from lodestrata.llm.common import scratch
-from lodestrata.llm.tokens import default_tokenizer, encoder
+from lodestrata.llm.tokens import CachedEncoder, default_tokenizer, encoder
 
 PIECES = ["a", "'s", "'", " ", "  ", "\n", " \n", "\t", "é", "ß", "1", "23", ".", "...", "<|endoftext|>", "’", "Hello", " wörld", "\r\n", "!?", "日本", "\xa0", "\x85", "😀"]
 
 
+PLAIN = Tokenizer.from_file(default_tokenizer())
+
+
+def library(text):
+    """Ids by the library as it comes, no flag set."""
+    return np.array(PLAIN.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=12))
 def test_ids_are_the_library_s(parts):
-    coder, text = encoder(default_tokenizer()), "".join(parts)
-    assert coder.encode(text) == coder.library(text)
+    text = "".join(parts)
+    assert encoder(default_tokenizer()).encode(text) == library(text)
+
+
+def test_added_tokens_are_the_library_s():
+    got = np.frombuffer(encoder(default_tokenizer()).encode("a <|endoftext|> b"), dtype="<u4").tolist()
+    assert got == [64, 220, 50256, 275]
 
 
 def test_ids_of_documents(documents):
     coder = encoder(default_tokenizer())
     for r in documents.limit(60).collect():
-        assert coder.encode(r["text"]) == coder.library(r["text"])
+        assert coder.encode(r["text"]) == library(r["text"])
     assert coder.encode(None) == b""
 
 
+def test_what_is_remembered_is_bounded():
+    coder = CachedEncoder(default_tokenizer(), entries=50)
+    for text in (" ".join(f"w{i}" for i in range(400)), "  ".join(f"v{i}" for i in range(400)), "x" * 5000, "  " + "y" * 5000):
+        assert coder.encode(text) == library(text)
+        assert len(coder.known) <= 50 and max(map(len, coder.known)) <= 64
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30), st.integers(1, 8))
 def test_plan_places_every_piece_once(histogram, groups):
