@@ -10,6 +10,9 @@ the plan is made from the histogram on the driver, whatever the number of docume
 3. Actual pieces take the places of their groups, so that a sequence has more room than planned.
 4. What is left over (small pieces and those that the rounding left) goes best-fit, longest first,
    into the fullest sequence that has room, or else into a new one.
+5. The emptiest sequences are taken apart and their pieces go best-fit once more, in rounds from a few sequences to all
+   that have room; a round that needs more sequences is undone.  Where the bound (all ids by the capacity) isn't met by then, plain
+   best-fit by decreasing length is improved in the same way, and the better of the two is taken.
 
 The plan is a list of runs: pieces ``rank .. rank + count - 1`` of a length take ``offset`` in the sequences
 ``sequence .. sequence + count - 1``.  Its size depends on capacity and number of groups only.
@@ -23,6 +26,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from copy import deepcopy
 
 import numpy as np
 import pyarrow as pa
@@ -100,24 +104,22 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
 
 
 class _Sequences:
-    """Sequences by the room that they have left: runs of sequences alike, not single ones."""
+    """Sequences as stacks: ``count`` sequences alike, whose i-th holds piece ``rank + i`` of each (length, rank) in ``holds``."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.made = capacity, 0
-        self.runs: list[tuple[int, int, int, int, int]] = []
-        self.by_room: dict[int, list[tuple[int, int]]] = {}
+        self.capacity = capacity
+        self.by_room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
         self.rooms: list[int] = []
 
-    def new(self, count: int) -> int:
-        self.made += count
-        return self.made - count
-
-    def keep(self, room: int, first: int, count: int) -> None:
-        if room:
+    def keep(self, room: int, count: int, holds: list[tuple[int, int]]) -> None:
+        if count:
             if room not in self.by_room:
                 self.by_room[room] = []
                 insort(self.rooms, room)
-            self.by_room[room].append((first, count))
+            self.by_room[room].append((count, holds))
+
+    def made(self) -> int:
+        return sum(count for own in self.by_room.values() for count, _ in own)
 
     def best_fit(self, pieces: list[tuple[int, int, int]]) -> None:
         """(length, first rank, count), longest first: each into the fullest sequence that has room."""
@@ -125,67 +127,114 @@ class _Sequences:
             while count:
                 at = bisect_left(self.rooms, length)
                 if at == len(self.rooms):
-                    new = -(-count // (self.capacity // length))
-                    self.keep(self.capacity, self.new(new), new)
+                    self.keep(self.capacity, -(-count // (self.capacity // length)), [])
                     continue
                 room = self.rooms[at]
-                first, have = self.by_room[room].pop()
+                have, holds = self.by_room[room].pop()
                 if not self.by_room[room]:
                     del self.by_room[room]
                     self.rooms.pop(at)
                 each = min(room // length, count)
                 use = min(have, max(1, count // each))
-                for k in range(each):
-                    self.runs.append((length, rank, use, first, self.capacity - room + k * length))
-                    rank, count = rank + use, count - use
-                self.keep(room - each * length, first, use)
-                if have > use:
-                    self.keep(room, first + use, have - use)
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 128, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """{length: count} -> runs of (length, first rank, count, first sequence, offset).
-
-    Lengths are 1 to capacity; those up to ``small`` (default: a quarter of capacity) count as small.
-    """
-    small = capacity // 4 if small is None else small
-    lengths = sorted(((n, c) for n, c in histogram.items() if c), reverse=True)
-    if any(n < 1 or n > capacity for n, _ in lengths):
-        raise ValueError("lengths must be from 1 to the capacity")
+                self.keep(room - each * length, use, holds + [(length, rank + use * k) for k in range(each)])
+                rank, count = rank + use * each, count - use * each
+                self.keep(room, have - use, [(n, r + use) for n, r in holds])
+
+    def empty(self, most: int) -> list[tuple[int, int, int]]:
+        """Takes the sequences with the most room apart, ``most`` at most: their pieces (length, first rank, count)."""
+        out: list[tuple[int, int, int]] = []
+        while self.rooms and self.rooms[-1] and most:
+            room = self.rooms[-1]
+            have, holds = self.by_room[room].pop()
+            if not self.by_room[room]:
+                del self.by_room[room]
+                self.rooms.pop()
+            use = min(have, most)
+            out += [(n, r, use) for n, r in holds]
+            self.keep(room, have - use, [(n, r + use) for n, r in holds])
+            most -= use
+        return out
+
+    def runs(self) -> list[tuple[int, int, int, int, int]]:
+        out, first = [], 0
+        for own in self.by_room.values():
+            for count, holds in own:
+                offset = 0
+                for length, rank in holds:
+                    out.append((length, rank, count, first, offset))
+                    offset += length
+                first += count
+        return out
+
+
+def _grouped(lengths: list[tuple[int, int]], capacity: int, groups: int, small: int) -> _Sequences:
+    """Linear grouping: configurations of the groups' sizes, actual pieces in their places, the rest best-fit."""
     made = _Sequences(capacity)
-    for n, c in lengths:
-        if n == capacity:  # full already
-            made.runs.append((n, 0, c, made.new(c), 0))
     queues: dict[int, list[tuple[int, int, int]]] = {}  # groups whose longest are equal are one size
-    for group in _groups([x for x in lengths if small < x[0] < capacity], groups):
+    for group in _groups([x for x in lengths if x[0] > small], groups):
         queues.setdefault(group[0][0], []).extend(group)
     order = list(queues)
     for config, often in configurations(order, [sum(c for *_, c in queues[s]) for s in order], capacity) if order else []:
         count = int(often + 1e-6)
         if not count:
             continue
-        stacks = [(made.new(count), count, capacity)]  # first sequence, count, room
+        stacks: list[tuple[int, int, list[tuple[int, int]]]] = [(count, capacity, [])]
         for s, times in zip(order, config):
             for _ in range(times):
                 after = []
-                for first, n, room in stacks:
+                for n, room, holds in stacks:
                     while n and queues[s]:
                         length, rank, have = queues[s][0]
                         take = min(n, have)
-                        made.runs.append((length, rank, take, first, capacity - room))
-                        after.append((first, take, room - length))
+                        after.append((take, room - length, [*holds, (length, rank)]))
                         if take == have:
                             queues[s].pop(0)
                         else:
                             queues[s][0] = (length, rank + take, have - take)
-                        first, n = first + take, n - take
+                        n, holds = n - take, [(k, r + take) for k, r in holds]
                     if n:
-                        after.append((first, n, room))
+                        after.append((n, room, holds))
                 stacks = after
-        for first, n, room in stacks:
-            made.keep(room, first, n)
-    made.best_fit([x for s in order for x in queues[s]] + [(n, 0, c) for n, c in lengths if n <= small and n < capacity])
-    return made.runs
+        for n, room, holds in stacks:
+            if holds:
+                made.keep(room, n, holds)
+    made.best_fit([x for s in order for x in queues[s]] + [(n, 0, c) for n, c in lengths if n <= small])
+    return made
+
+
+def _improved(best: _Sequences, bound: int, rounds: int) -> _Sequences:
+    """Takes the emptiest sequences apart and packs their pieces again, from a few to all that have room."""
+    for k in range(rounds):
+        if best.made() <= bound:
+            break
+        again = deepcopy(best)
+        again.best_fit(again.empty(max(2, best.made() >> (rounds - 1 - k))))
+        if again.made() <= best.made():
+            best = again
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 128, small: int | None = None, rounds: int = 12) -> list[tuple[int, int, int, int, int]]:
+    """{length: count} -> runs of (length, first rank, count, first sequence, offset).
+
+    Lengths are 1 to capacity; those up to ``small`` (default: a quarter of capacity) count as small.  Never more sequences
+    than best-fit by decreasing length makes.
+    """
+    small = capacity // 4 if small is None else small
+    lengths = sorted(((n, c) for n, c in histogram.items() if c), reverse=True)
+    if any(n < 1 or n > capacity for n, _ in lengths):
+        raise ValueError("lengths must be from 1 to the capacity")
+    full = [(n, c) for n, c in lengths if n == capacity]
+    lengths = [x for x in lengths if x[0] < capacity]
+    bound = -(-sum(n * c for n, c in lengths) // capacity)  # no packing has fewer
+    best = _improved(_grouped(lengths, capacity, groups, small), bound, rounds)
+    if best.made() > bound:
+        plain = _Sequences(capacity)
+        plain.best_fit([(n, 0, c) for n, c in lengths])
+        best = min(best, _improved(plain, bound, rounds), key=_Sequences.made)
+    for n, c in full:
+        best.keep(0, c, [(n, 0)])
+    return best.runs()
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int):
