@@ -1,17 +1,23 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are alike if at most t edits of bytes turn one into the other, t = min(max_edits, bytes of the shorter
-// per_edit).  Lines of less than ``min_bytes`` bytes are left alone.  Classes are the components of alike lines; of
-each class the first line (smallest doc_id, then text, then place) stays.
+Two lines are alike if they are equal, or if at most t edits of bytes turn one into the other, t = min(max_edits, bytes of the
+shorter // per_edit); lines of less than ``min_bytes`` bytes are alike only if equal.  Blank lines (no byte but ASCII white space)
+are left alone.  Classes are the components of alike lines; of each class the first line (smallest doc_id, then text, then
+place) stays.
 
 1. Equal lines are one node, by a 128-bit hash.
 2. A line is split into t + 1 segments: at most t edits leave one of them as it is.  Segments are indexed by
    (length, number, hash); a line probes, for each length that it may have a partner of, the substrings at the
-   places that few enough edits on both sides can shift a segment to.  Index and probes meet in one shuffle.
+   places that few enough edits on both sides can shift a segment to.  A task sends the keys of a line that it has just met
+   only once, so that a line that stands everywhere costs a row a task.  Index and probes meet in one shuffle.
 3. In each list of one key the first node is the hub of the others; pairs that pass a bound on the difference
    of their byte counts are verified by a banded bit-parallel edit distance, and give components.
-4. Lists that still hold several components are completed across components, so that a list of m alike
-   lines costs m verifications, not the square, and no link that joins components is lost.
+4. Lists that still hold several components are completed across components.  t edits change the counts of at most 2 t byte
+   values, so that of 2 t + 1 groups of byte values one is counted alike in both lines: only members of a list that share such a
+   group's counts are compared.  A list of m lines, alike or not, so costs about m comparisons, not the square, and no link that
+   joins components is lost.
+
+Texts are read again for few lines only: those whose hash passes a sketch of fixed size (common.sketch).
 
 Defined cases: null texts have no lines; rows with equal doc_id and text are the same document; null doc_ids come
 first; other columns are ignored; no rows give no rows.
@@ -26,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytewords import U, _powers, chunks, mix
-from .common import components, materialize, small_batches
+from .bytewords import NOT_SPACE, U, _powers, chunks, mix
+from .common import Seen, components, in_sketch, materialize, may_hold, sketch, small_batches, unused
 from .edits import within
 
 MAX_EDITS, PER_EDIT, MIN_BYTES = 2, 20, 20
@@ -67,25 +73,30 @@ class _Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def _nodes(min_bytes: int, counts: bool):
+def _lines(min_bytes: int, counts: bool, wanted=None):
+    """Of every line that isn't blank: id, t, place, h1, h2, and with ``counts`` n and its byte counts (of lines of min_bytes)."""
     names = ["id", "t", "place", "h1", "h2"] + ["n", "c1", "c2"] * counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch.column(2)):
                 starts, ends, rows, numbers = split_lines(data, offsets)
-                long = ends - starts >= min_bytes
-                starts, ends, rows, numbers = starts[long], ends[long], rows[long], numbers[long]
+                inside = np.append(0, np.cumsum(NOT_SPACE[data]))
+                own = inside[ends] > inside[starts]
+                hashed = [_Hashes(data, k) for k in range(2)]
+                if wanted is not None:
+                    own[own] = may_hold(wanted.value, hashed[0].of(starts[own], ends[own]))
+                starts, ends, rows, numbers = starts[own], ends[own], rows[own], numbers[own]
                 take = pa.array(row + rows)
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers.astype(np.int32))]
-                arrays += [pa.array((_Hashes(data, k).of(starts, ends)).view(np.int64)) for k in range(2)]
+                arrays += [pa.array(h.of(starts, ends).view(np.int64)) for h in hashed]
                 if counts:
                     arrays.append(pa.array((ends - starts).astype(np.int32)))
                     for unit in _UNITS:
                         # Carries between the classes don't matter: differences of two lines' sums have none.
                         sums = np.zeros(len(data) + 1, dtype=np.uint64)
                         np.cumsum(unit[data], out=sums[1:])
-                        arrays.append(pa.array(((sums[ends] - sums[starts]) & _MASK).view(np.int64)))
+                        arrays.append(pa.array(np.where(ends - starts >= min_bytes, (sums[ends] - sums[starts]) & _MASK, U(0)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -95,6 +106,7 @@ def _keys(max_edits: int, per_edit: int, min_bytes: int):
     schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 starts, ends, _, _ = split_lines(data, offsets)
@@ -103,6 +115,8 @@ def _keys(max_edits: int, per_edit: int, min_bytes: int):
                 h = _Hashes(data, 0)
                 line = h.of(starts, ends)
                 line, keep = np.unique(line, return_index=True)
+                fresh = seen.new(line)
+                line, keep = line[fresh], keep[fresh]
                 starts, n = starts[keep], (ends - starts)[keep]
                 line &= ~U(1)
                 keys, lines = [], []
@@ -118,10 +132,10 @@ def _keys(max_edits: int, per_edit: int, min_bytes: int):
                         for i in range(t + 1):
                             width = base + (i >= t + 1 - more)
                             for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                                if less == 0 and shift == 0:
-                                    flag = U(1)
-                                else:
-                                    flag = U(0)
+                                # Of two lines of one length each probes the other: up to two edits shift by 0 or 1, and one of both sees it as 1.
+                                if less == 0 and shift < 0 and t <= 2:
+                                    continue
+                                flag = U(less == 0 and shift == 0)
                                 at = begin + shift
                                 ok = (at >= 0) & (at + width <= n[own])
                                 s = starts[own][ok] + at[ok]
@@ -135,16 +149,36 @@ def _keys(max_edits: int, per_edit: int, min_bytes: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("line", pa.binary())])
-    for batch in batches:
-        wanted, node, line = batch.column(1).to_pylist(), [], []
-        for row, text in enumerate(batch.column(0).to_pylist()):
-            own = text.encode("utf-8").split(b"\n")
-            for w in wanted[row]:
-                node.append(w["node"])
-                line.append(own[w["place"]])
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(line, pa.binary())], schema=schema)
+def _texts(min_bytes: int, groups: int, wanted):
+    """(h1, h2, line, parts) of the lines that may be wanted; parts: a hash for each group of byte values of how often each stands in the line."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary()), ("parts", pa.list_(pa.int64()))])
+    group = np.random.default_rng(9029).permutation(256) % groups
+    weight = np.zeros((256, groups), dtype=np.uint64)
+    weight[np.arange(256), group] = mix(np.arange(1, 257, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column(0)):
+                starts, ends, _, _ = split_lines(data, offsets)
+                long = ends - starts >= min_bytes
+                starts, ends = starts[long], ends[long]
+                first, second = _Hashes(data, 0), _Hashes(data, 1)
+                h, keep = np.unique(first.of(starts, ends), return_index=True)
+                own = may_hold(wanted.value, h)
+                h, keep = h[own], keep[own]
+                fresh = seen.new(h)
+                h, starts, ends = h[fresh], starts[keep[fresh]], ends[keep[fresh]]
+                if not len(h):
+                    continue
+                lines = [data[a:b] for a, b in zip(starts, ends)]
+                parts = np.array([np.bincount(x, minlength=256).astype(np.uint64) for x in lines]) @ weight
+                parts = mix(parts + mix(np.arange(1, groups + 1, dtype=np.uint64))).view(np.int64)
+                cuts = pa.array(np.arange(0, groups * len(h) + 1, groups).astype(np.int32))
+                arrays = [pa.array(h.view(np.int64)), pa.array(second.of(starts, ends).view(np.int64)), pa.array([x.tobytes() for x in lines], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(cuts, pa.array(parts.ravel()))], schema=schema)
+
+    return run
 
 
 def _verify(max_edits: int, per_edit: int):
@@ -170,15 +204,10 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(own))
             gone.append(drop)
         arrays = [batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.int32()))]
-        names = ["doc_id", "text", "n_lines", "removed", *batch.schema.names[3:]]
+        names = ["id", "text", "n_lines", "removed", *batch.schema.names[3:]]
         yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=names)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _close(a: str, b: str, max_edits: int) -> str:
     """SQL for a bound: t edits change the counts of byte classes by 2 t at most.
 
@@ -189,65 +218,70 @@ def _close(a: str, b: str, max_edits: int) -> str:
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER_EDIT, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) -> doc_id, text without the lines that are alike an earlier one, n_lines (before), removed (places), and the columns ``keep``."""
+    """(doc_id, text) -> doc_id, text without the lines that are alike an earlier one, n_lines (before), removed (places), and the columns ``keep``.
+
+    A column of ``keep`` may have any name but those of the result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.col("text").cast("string")
-    own = F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text")
-    kept_too = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    whole, docs = docs.select(*own, *keep), docs.select(*own)
+    kept_too = unused("kept_too", docs)
+    rest = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"), rest.alias(kept_too))
+    docs = whole.select("id", "t", "text")
     columns = "id long, t long, place int, h1 long, h2 long"
-    lines = docs.mapInArrow(_nodes(min_bytes, True), columns + ", n int, c1 long, c2 long")
-    first = F.min(F.struct("id", "t", "place")).alias("first")
-    one = lambda c: F.first(c).alias(c)
-    places = lambda own: own.groupBy("h1", "h2").agg(first, F.max(F.struct("id", "t", "place")).alias("last"), one("n"), one("c1"), one("c2"))
-    nodes = materialize(places(lines).withColumn("node", F.monotonically_increasing_id()), "line-nodes")
-    _release(spark)
+    place, one = F.struct("id", "t", "place"), lambda c: F.first(c).alias(c)
+    lines = docs.mapInArrow(_lines(min_bytes, True), columns + ", n int, c1 long, c2 long")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), one("n"), one("c1"), one("c2"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
 
     keys = docs.select("text").mapInArrow(_keys(max_edits, per_edit, min_bytes), "key long, line long")
-    same = Window.partitionBy("key")
-    node_of = F.shiftright("line", 1)
-    lists = keys.withColumns({"low": F.min(node_of).over(same), "high": F.max(node_of).over(same), "indexed": F.max(F.col("line").bitwiseAND(1)).over(same)})
-    lists = materialize(lists.where("low < high and indexed = 1").select("key", node_of.alias("line"), F.col("line").bitwiseAND(1).alias("index")).distinct(), "line-lists")
-    _release(spark)
-    lists = lists.join(nodes.select(F.shiftright("h1", 1).alias("line"), "node", "n", "c1", "c2"), "line")
-    lists = materialize(lists.groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index")), "line-lists")
+    same, line = Window.partitionBy("key"), F.shiftright("line", 1)
+    lists = keys.withColumns({"low": F.min(line).over(same), "high": F.max(line).over(same), "indexed": F.max(F.col("line").bitwiseAND(1)).over(same)})
+    lists = materialize(lists.where("low < high and indexed = 1").select("key", line.alias("line"), F.col("line").bitwiseAND(1).alias("index")).distinct(), "line-lists")
+    found = nodes.where(F.col("n") >= min_bytes).withColumn("line", F.shiftright("h1", 1)).join(lists.select("line").distinct(), "line")
+    found = materialize(found.select("line", "node", "h1", "h2", "first", "n", "c1", "c2"), "line-candidates")
+    lists = lists.join(found.select("line", "node", "n", "c1", "c2"), "line").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
+    lists = materialize(lists, "line-lists")
+    wanted = spark.sparkContext.broadcast(sketch(found.select("h1")))
+    texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, line binary, parts array<long>")
+    texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "line", "parts"), "line-texts")
 
     hubs = lists.groupBy("key").agg(F.min(F.struct("node", "n", "c1", "c2")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = lists.alias("x").join(hubs.select("key", "hub.*").alias("y"), "key").where("x.node <> y.node").where(_close("x", "y", max_edits))
     star = materialize(star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "line-star")
     verify = _verify(max_edits, per_edit)
-    links = _verified(docs, nodes, star, verify)
+    links = _verified(texts, star, verify)
     label = components(links)
     own = lists.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    own = materialize(own.join(mixed, "key"), "line-mixed")
+    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
+    own = own.join(mixed.select("key"), "key").join(texts.select("node", "parts"), "node").select("key", "node", "n", "c1", "c2", "index", "component", F.posexplode("parts").alias("group", "counts"))
+    own = materialize(own.withColumn("key", F.xxhash64("key", "group", "counts")), "line-mixed")
     rest = own.alias("x").join(own.alias("y"), "key").where("x.node < y.node and x.component <> y.component and (x.index = 1 or y.index = 1)").where(_close("x", "y", max_edits))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(docs, nodes, materialize(rest, "line-rest"), verify))
+    links = links.unionByName(_verified(texts, materialize(rest, "line-rest"), verify))
     label = materialize(components(links).withColumnRenamed("id", "node"), "line-labels")
-    _release(spark)
 
-    named = nodes.join(label, "node", "left")
-    kept = materialize(named.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first")), "line-first")
-    named = named.join(kept, "component", "left").where("class_first is not null or first <> last")
-    named = materialize(named.select("h1", "h2", F.coalesce("class_first", "first").alias("kept")), "line-kept")
-    _release(spark)
-    gone = docs.mapInArrow(_nodes(min_bytes, False), columns).join(named, ["h1", "h2"]).where(~F.struct("id", "t", "place").eqNullSafe(F.col("kept")))
-    gone = gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone"))
-    done = whole.alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", *[f"d.{c}" for c in keep])
-    return done.mapInArrow(_rebuild, "doc_id long, text string, n_lines long, removed array<int>" + kept_too)
+    linked = found.select("node", "h1", "h2", "first").join(label, "node")
+    kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
+    linked = materialize(linked.join(kept, "component").select("h1", "h2", "kept"), "line-linked")
+    again = nodes.where("first <> last").select("h1", "h2", F.col("first").alias("kept")).join(linked, ["h1", "h2"], "left_anti")
+    named = materialize(again.unionByName(linked), "line-kept")
+    wanted = spark.sparkContext.broadcast(sketch(named.select("h1")))
+    gone = docs.mapInArrow(_lines(min_bytes, False, wanted), columns).join(named, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    gone = materialize(gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone")), "line-gone")
+
+    touched = in_sketch(spark, sketch(gone.select("t")))(F.col("t"))
+    done = whole.where(touched).alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", f"d.{kept_too}")
+    done = done.mapInArrow(_rebuild, f"id long, text string, n_lines long, removed array<int>, {kept_too} {whole.schema[kept_too].dataType.simpleString()}")
+    n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0).cast("long")
+    same = whole.where(~touched).select("id", "text", F.coalesce(n_lines, F.lit(0).cast("long")).alias("n_lines"), F.array().cast("array<int>").alias("removed"), kept_too)
+    return done.unionByName(same).select(F.col("id").alias("doc_id"), "text", "n_lines", "removed", *[F.col(kept_too)[c].alias(c) for c in keep])
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, verify) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, verify) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are alike."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("first.id").alias("id"), F.col("first.t").alias("t"), F.col("first.place").alias("place"))
-    wanted = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("node", "place")).alias("wanted"))
-    found = docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.t = w.t")).select("text", "wanted")
-    text = materialize(found.mapInArrow(_texts, "node long, line binary").dropDuplicates(["node"]), "line-texts")
-    _release(docs.sparkSession)
-    a, b = text.select(F.col("node").alias("a"), F.col("line").alias("x")), text.select(F.col("node").alias("b"), F.col("line").alias("y"))
+    a, b = texts.select(F.col("node").alias("a"), F.col("line").alias("x")), texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
     return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "line-links")
 
 
@@ -264,9 +298,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = rf"""
 WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE text <> ''
-), u AS (SELECT s, strlen(s) AS n, row_number() OVER (ORDER BY min(doc_id), s) AS k FROM l WHERE strlen(s) >= {MIN_BYTES} GROUP BY s),
+), u AS (SELECT s, strlen(s) AS n, row_number() OVER (ORDER BY min(doc_id), s) AS k FROM l WHERE regexp_matches(s, '[^\x20\x09-\x0D]') GROUP BY s),
+v AS (SELECT * FROM u WHERE n >= {MIN_BYTES}),
 e AS (
-  SELECT a.k AS a, b.k AS b FROM (SELECT *, unnest(range(n - {MAX_EDITS}, n + {MAX_EDITS + 1})) AS m FROM u) a JOIN u b ON b.n = a.m AND a.k <> b.k
+  SELECT a.k AS a, b.k AS b FROM (SELECT *, unnest(range(n - {MAX_EDITS}, n + {MAX_EDITS + 1})) AS m FROM v) a JOIN v b ON b.n = a.m AND a.k <> b.k
   WHERE levenshtein(a.s, b.s) <= least({MAX_EDITS}, least(a.n, b.n) // {PER_EDIT})
 ), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT u.s, least(u.k, coalesce(m.b, u.k)) AS c FROM u LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = u.k),

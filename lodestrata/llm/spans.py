@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, U, _powers, chunks, hashes, mix, spans
 from .common import materialize, small_batches
-from .lines import _release
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
 #: Passages of over 50 words; the words of an anchor.
@@ -226,18 +225,14 @@ def _later_passages(rows: DataFrame, passage_words: int) -> DataFrame:
     often = materialize(often, "repeated-anchors")
     found = anchors.join(often, "h").groupBy("id", "t").agg(F.collect_set("start").alias("anchors"))
     found = materialize(found, "anchors")
-    _release(rows.sparkSession)
     joined = rows.alias("r").join(found.alias("f"), F.expr("r.id <=> f.id and r.t = f.t")).select("r.id", "r.t", "text", "anchors")
     segments = materialize(joined.mapInArrow(_segments(passage_words), "id long, t long, h long, start int, runs array<long>"), "segments")
-    _release(rows.sparkSession)
     segments = segments.join(_first(segments, "repeated-segments"), "h", "left")
     again = F.col("first").isNotNull() & ~F.struct("id", "t", "start").eqNullSafe(F.col("first"))
     segments = segments.select("id", "t", "start", "first", F.size("runs").alias("n"), F.when(~again, F.col("runs")).alias("runs"))
     segments = materialize(segments, "segments-joined")
-    _release(rows.sparkSession)
     runs = segments.where("runs is not null").select("id", "t", "start", F.posexplode("runs").alias("k", "h")).select("id", "t", "h", (F.col("start") + F.col("k")).alias("start"))
     runs = materialize(_later(runs, "repeated-passages").select("id", "t", "start", "first", F.lit(1).alias("n")), "later-passages")
-    _release(rows.sparkSession)
     later = segments.where("runs is null").select("id", "t", "start", "first", "n").unionByName(runs)
     begin = F.when(F.expr("id <=> first.id and t = first.t"), F.greatest("start", F.col("first.start") + passage_words)).otherwise(F.col("start"))
     return later.select("id", "t", begin.alias("start"), (F.col("start") + F.col("n") - 1 + passage_words - begin).alias("size"))
@@ -252,7 +247,6 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     later = _later(places, "repeated-spans").select("id", "t", F.lit(False).alias("by_word"), "start", "size")
     if passage_words:
         later = materialize(later, "later-spans")
-        _release(docs.sparkSession)
         later = later.unionByName(_later_passages(rows, passage_words).withColumn("by_word", F.lit(True)))
     later = later.groupBy("id", "t").agg(F.collect_set(F.struct("by_word", "start", "size")).alias("covered"))
     joined = rows.alias("r").join(later.alias("l"), F.expr("r.id <=> l.id and r.t = l.t"), "left")

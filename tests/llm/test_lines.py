@@ -2,7 +2,9 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from lodestrata.llm import lines
 from lodestrata.llm.edits import _table, within
 from lodestrata.llm.lines import dedup_lines
 
@@ -21,7 +23,8 @@ def test_bounded_distance(a, changes, k):
 
 def brute(rows):
     lines = [(d, i, s.encode()) for d, t in rows for i, s in enumerate((t or "").split("\n") if t else [])]
-    texts = list(dict.fromkeys(s for _, _, s in sorted(lines) if len(s) >= 20))
+    lines = [(d, i, s) for d, i, s in lines if s.strip(b" \t\n\v\f\r")]
+    texts = list(dict.fromkeys(s for _, _, s in sorted(lines)))
     group = {s: s for s in texts}
 
     def root(s):
@@ -36,10 +39,9 @@ def brute(rows):
                 group[root(y)] = root(x)
     seen, gone = set(), {}
     for d, i, s in sorted(lines):
-        if len(s) >= 20:
-            if root(s) in seen:
-                gone.setdefault(d, []).append(i)
-            seen.add(root(s))
+        if root(s) in seen:
+            gone.setdefault(d, []).append(i)
+        seen.add(root(s))
     return gone
 
 
@@ -54,7 +56,7 @@ def test_against_brute_force(spark):
                 at, kind = rng.randrange(len(s)), rng.randrange(3)
                 s[at : at + 1] = [] if kind == 0 else [rng.choice("xyz")] if kind == 1 else [s[at], "q"]
             own.append("".join(s))
-        rows.append((d, "\n".join([*own, "short", ""])))
+        rows.append((d, "\n".join([*own, rng.choice(("short", "shirt", "other")), "", " \t"])))
     rows += [(100, None), (101, ""), (102, "é" * 30 + "\n" + "é" * 29 + "è"), (103, "z" * 70_000)]
     got = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
@@ -68,7 +70,25 @@ def test_against_brute_force(spark):
 
 def test_null_ids_repeats_and_kept_columns(spark):
     line = "the very same line of this text"
-    rows = spark.createDataFrame([(None, line, 1), (2, line, 2), (2, line, 3), (3, f"{line}!", 4)], "doc_id long, text string, place int")
-    got = sorted((r["place"], list(r["removed"])) for r in dedup_lines(rows, keep=("place",)).collect())
-    assert got == [(1, []), (2, [0]), (3, [0]), (4, [0])]
+    clash = ("id", "t", "node", "component", "key", "kept_too", "gone", "h1", "line", "Place")
+    rows = spark.createDataFrame([(None, line, 1), (2, line, 2), (2, line, 3), (3, f"{line}!", 4)], "doc_id long, text string, n int").withColumns({c: F.lit(c) for c in clash})
+    got = dedup_lines(rows, keep=("n", *clash)).collect()
+    assert sorted((r["n"], list(r["removed"])) for r in got) == [(1, []), (2, [0]), (3, [0]), (4, [0])]
+    assert all(r[c] == c for r in got for c in clash)
     assert dedup_lines(rows.limit(0)).count() == 0
+
+
+def test_a_list_of_unlinked_lines_stays_linear(spark, monkeypatch):
+    """Lines that share a third but nothing else: what is written of them grows with their number, not with its square."""
+    rng, made = random.Random(6), {}
+
+    def count(df, tag):
+        out = keep(df, tag)
+        made[tag] = out.count()
+        return out
+
+    keep = lines.materialize
+    monkeypatch.setattr(lines, "materialize", count)
+    rows = [(d, "x" * 30 + "".join(rng.choice("abcdefghijklmnop") for _ in range(60))) for d in range(300)]
+    assert all(not r["removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert made["line-lists"] >= 300 and made["line-rest"] <= 300 and made["line-star"] <= 300
