@@ -10,8 +10,14 @@
    first member with its others.  The links give components.
 5. Lists that still hold several components are completed: their members are paired across components only, and
    verified.  Pairs inside a component need no check, so that a group of copies costs its size, not its square.
+6. In a list of over ``SHORT`` members (a phrase that many documents have and nothing else) members are paired by parts: a set is
+   dealt into k + 1 parts by hash, where k is the largest symmetric difference that the threshold allows at its size, so
+   that two sets that reach it have a part in common.  Such a list costs the size of its sets, not the square of its length.
+7. Before a pair is verified, the parities of 512 counters of both sets are compared: they differ in at most as many
+   places as the sets do.  Pairs that can't reach the threshold by that bound are never written.
 
 All links between different sets that could join two components are verified exactly on whole sets.
+Texts are read again, and shuffled, only where the document's id passes a sketch of fixed size (common.sketch).
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, sets
-from .common import components, materialize, small_batches
+from .common import components, in_sketch, materialize, sketch, small_batches, unused
 
 #: Counters of the sketch and the rows they are sent in; 4 MB whatever the input.
 COUNTERS, BLOCKS = 1 << 20, 64
+#: Members up to which a list's members are compared one by one; parities of a set, in numbers of 64.
+SHORT, SIGNS = 64, 8
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
@@ -81,24 +89,59 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's elements falls on each of 64 * SIGNS counters, as SIGNS numbers."""
+    at = (mix(own ^ U(0x632BE59BD9B4E019)) >> U(20)).astype(np.int64) % (64 * SIGNS)
+    return np.packbits(np.bincount(at, minlength=64 * SIGNS) & 1).view(np.int64)
+
+
 def _prefixes(size: int, percent: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    fields = [("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64())]
+    schema = pa.schema([*fields, ("sign", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for batch in batches:
-            n, f1, f2, prefix = [], [], [], []
-            for _, own in sets(batch.column(1), size):
+            n, f1, f2, sign, prefix = [], [], [], [], []
+            for _, own in sets(batch.column(2), size):
                 keep = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                 rank = np.lexsort((own, order[(own % U(COUNTERS)).astype(np.int64)]))
                 a, b = fingerprint(own)
                 n.append(len(own))
                 f1.append(a)
                 f2.append(b)
+                sign.append(parities(own))
                 prefix.append(_as_long(own[rank[:keep]]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], schema=schema
-            )
+            arrays = [pa.array(v, f.type) for v, f in zip((n, f1, f2, sign, prefix), list(schema)[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=schema)
+
+    return run
+
+
+def size_class(n: int, percent: int) -> int:
+    """Sizes of one class are at most 100 / percent apart, so that a partner's class is the same or a neighbour."""
+    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9)) if percent < 100 else n
+
+
+def parts_of(own: np.ndarray, kind: int, percent: int) -> np.ndarray:
+    """Hashes of the parts of a set among sets whose larger is of class ``kind``: two that reach the threshold share one."""
+    largest = int(np.floor((100 / percent) ** (kind + 1) * (1 + 1e-6))) + 1 if percent < 100 else kind
+    count = (100 - percent) * 2 * largest // (100 + percent) + 1
+    total = np.zeros(count, dtype=np.uint64)
+    np.add.at(total, (mix(own + U(0xA0761D6478BD642F)) % U(count)).astype(np.int64), mix(own ^ U(0xE7037ED1A0B428DB)))
+    return mix(total + mix(np.arange(count, dtype=np.uint64) + np.array([kind + 2], dtype=np.uint64) * U(0x8EBC6AF09C88C6E3)))
+
+
+def _parts(percent: int):
+    schema = pa.schema([("node", pa.int64()), ("part", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = own.values.to_numpy().view(np.uint64)
+                kind = size_class(len(own), percent)
+                found = np.concatenate([parts_of(own, k, percent) for k in (kind, kind + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(_as_long(found))], schema=schema)
 
     return run
 
@@ -119,22 +162,17 @@ def _whole_sets(size: int):
     return run
 
 
-def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, component_id) for every row.
-
-    Words: runs of anything but ASCII white space, A to Z folded.  A set: distinct runs of ``size`` words; with
-    fewer words, the whole as one.  Two documents link if 100 * intersection >= percent * union.  component_id: the
-    smallest doc_id that links reach.  Null or blank texts have the empty set and are linked with nothing; null
-    doc_ids count for no minimum (a component of such rows alone has null); repeated ids are rows of their own;
-    other columns are ignored; no rows give no rows.
-    """
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, n, f1, f2) of every row (t: a hash of its text) and (n, f1, f2, class, component_id) of every set that isn't empty."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
-    rows = materialize(docs.mapInArrow(_prefixes(size, percent, counts), "doc_id long, n int, f1 long, f2 long, prefix array<long>"), "prefixes")
+    schema = "doc_id long, t long, n int, f1 long, f2 long, sign array<long>, prefix array<long>"
+    rows = materialize(docs.mapInArrow(_prefixes(size, percent, counts), schema), "prefixes")
     key = ["n", "f1", "f2"]
-    nodes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    nodes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = materialize(nodes.groupBy("n", "prefix").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")), "groups")
     many = groups.where("members > 1").select("n", "prefix", "hub")
@@ -146,33 +184,91 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     fits = "100 * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) and (100 + {p}) * least({a}.n - {a}.at, {b}.n - {b}.at) >= {p} * ({a}.n + {b}.n)"
     star = lists.where("hub <> first.hub").where(fits.format(a="lists", b="first", p=percent).replace("lists.", "")).select(F.col("first.hub").alias("a"), F.col("hub").alias("b"))
     star = star.unionByName(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    signs = nodes.select("node", "n", "sign")
+    x, y = signs.toDF("a", "n", "sign").alias("x"), signs.toDF("b", "n", "sign").alias("y")
+    star = materialize(star.join(x, "a").join(y, "b").where(_near("x", "y", percent)).select("a", "b"), "star")
     links = _verified(docs, nodes, star, size, percent)
 
     label = components(links)
     own = lists.select("shingle", "hub", "n", "at").join(members, "hub", "left").select("shingle", F.coalesce("node", "hub").alias("id"), "n", "at")
     own = own.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = own.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    left = materialize(own.join(mixed, "shingle"), "mixed-lists")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where("x.id < y.id and x.component <> y.component").where(fits.format(a="x", b="y", p=percent))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    mixed = own.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
+    left = materialize(own.join(mixed.select("shingle", "size"), "shingle"), "mixed-lists")
+    short = left.where(F.col("size") <= SHORT).join(signs.select(F.col("node").alias("id"), "sign"), "id")
+    x, y = short.alias("x"), short.alias("y")
+    rest = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where("x.id < y.id and x.component <> y.component").where(fits.format(a="x", b="y", p=percent)).where(_near("x", "y", percent))
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    long = materialize(left.where(F.col("size") > SHORT).select(F.col("id").alias("node"), "component").distinct(), "long-lists")
+    parts = _sets(docs, nodes, long.select("node"), size).mapInArrow(_parts(percent), "node long, part long")
+    parts = materialize(parts.join(long, "node").join(signs, "node"), "parts")
+    x, y = parts.alias("x"), parts.alias("y")
+    far = x.join(y, F.col("x.part") == F.col("y.part")).where("x.node < y.node and x.component <> y.component")
+    far = far.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").where(_near("x", "y", percent))
+    rest = rest.unionByName(far.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct().join(star, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(docs, nodes, materialize(rest, "rest"), size, percent))
 
     label = materialize(components(links).withColumnRenamed("id", "node"), "labels")
     named = nodes.select("node", "least", *key).join(label, "node", "left")
     smallest = materialize(named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = named.join(smallest, "component", "left").select(*key, F.coalesce("component_id", "least").alias("component_id"))
-    found = rows.select("doc_id", *key).join(named, key, "left")
+    named = named.join(smallest, "component", "left")
+    return rows.select("doc_id", "t", *key), named.select(*key, F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
+
+
+def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, component_id) for every row.
+
+    Words: runs of anything but ASCII white space, A to Z folded.  A set: distinct runs of ``size`` words; with
+    fewer words, the whole as one.  Two documents link if 100 * intersection >= percent * union.  component_id: the
+    smallest doc_id that links reach.  Null or blank texts have the empty set and are linked with nothing; null
+    doc_ids count for no minimum (a component of such rows alone has null); repeated ids are rows of their own;
+    other columns are ignored; no rows give no rows.
+    """
+    rows, named = _classes(docs, size, percent)
+    found = rows.join(named, ["n", "f1", "f2"], "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of ``docs``, all columns, of which no earlier one is in the same component (see similar_components).
+
+    Earlier: smaller doc_id (nulls last), then hash of the text; of rows with equal doc_id and text any one stays.  Rows
+    with null or blank texts are linked with nothing and all stay.  Columns may have any names.
+    """
+    spark = docs.sparkSession
+    rows, named = _classes(docs, size, percent)
+    found = rows.where("n > 0").join(named, ["n", "f1", "f2"]).groupBy("class", "doc_id", "t").agg(F.count(F.lit(1)).alias("times"))
+    found = materialize(found, "class-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
+    first = materialize(found.groupBy("class").agg(F.min(order).alias("first"), F.sum("times").alias("total")).where("total > 1").select("class", "first"), "class-first")
+    found = materialize(found.join(first, "class").select("doc_id", "t", "times", order.eqNullSafe(F.col("first")).alias("stays")), "copies")
+    kept, text = unused("kept", docs), F.col("text").cast("string")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("t"), F.struct(*docs.columns).alias(kept))
+    touched = in_sketch(spark, sketch(found.select("t")))(F.col("t"))
+    joined = whole.where(touched).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.t = f.t"), "left")
+    once = joined.where("f.t is null or (f.stays and f.times = 1)").select(f"d.{kept}")
+    again = joined.where("f.stays and f.times > 1").select("d.doc_id", "d.t", f"d.{kept}").dropDuplicates(["doc_id", "t"]).select(kept)
+    return whole.where(~touched).select(kept).unionByName(once).unionByName(again).select(f"{kept}.*")
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    """SQL for a bound: the parities of two sets differ in at most as many places as the sets do."""
+    differ = " + ".join(f"bit_count({a}.sign[{k}] ^ {b}.sign[{k}])" for k in range(SIGNS))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n)"
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes; a table."""
+    wanted = materialize(nodes.join(wanted, "node").select("node", F.col("least").alias("id"), "f1", "f2"), "wanted-sets")
+    held = in_sketch(docs.sparkSession, sketch(wanted.select(F.xxhash64("id"))))(F.xxhash64("doc_id"))
+    texts = docs.where(held).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "f1", "f2", "text")
+    return materialize(texts.mapInArrow(_whole_sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("least").alias("id"), "f1", "f2")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "f1", "f2", "text")
-    whole = materialize(texts.mapInArrow(_whole_sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    whole = _sets(docs, nodes, wanted, size)
     a, b = whole.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), whole.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     ok = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))

@@ -2,9 +2,14 @@
 
 Texts are lower-cased and everything but letters becomes one separator; n-grams of 1 to ``longest``
 characters are hashed to ``buckets`` features.  The model is fitted on a bounded sample: of each language the
-documents whose hashed ids fall under a threshold that ``per_language`` documents are expected to pass.  Counts are
-summed in Spark; the matrix of log-probabilities (languages x buckets) is broadcast, and batches are scored in
-numpy by gathering and summing, document by document, in pieces of bounded size.
+documents whose hashes (of id and text) fall under a threshold that ``per_language`` documents are expected to pass.  Counts
+are summed in Spark; the matrix of log-probabilities (languages x buckets) is broadcast.  Batches are scored in numpy as sparse
+rows: the n-grams of many documents in one list, with where each document's begin; the model's columns are gathered once for
+all and summed by document.
+
+Besides the posterior, which is close to 0 or 1 for any text of some length, a prediction has ``gain``: by how much an n-gram of
+the text is likelier under its language than if all features were equally likely, as the mean of logarithms.  It doesn't grow
+with the text.  Texts of a learned language gain; texts in another alphabet, of an unlearned language or of junk lose.
 """
 
 from __future__ import annotations
@@ -44,15 +49,20 @@ def code_points(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
 
 
-def features(c: np.ndarray, buckets: int, longest: int) -> np.ndarray:
-    """Features of all n-grams of what code_points returns; those of separators alone are left out."""
-    out, h = [], np.zeros(len(c), dtype=np.uint64)
+def features(c: np.ndarray, buckets: int, longest: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, row) of all n-grams of what code_points returns, one text or several (``rows``: of each code point).
+
+    N-grams of separators alone and those that reach over two texts are left out.
+    """
+    rows = np.zeros(len(c), dtype=np.int64) if rows is None else rows
+    out, of, h = [], [], np.zeros(len(c), dtype=np.uint64)
     for n in range(1, longest + 1):
         h = h[: len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(n)
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        f = (mixed >> np.uint64(40)).astype(np.int64) % buckets
-        out.append(f[c != 0] if n == 1 else f)
-    return np.concatenate(out)
+        own = c != 0 if n == 1 else rows[: len(h)] == rows[n - 1 :]
+        out.append(((mixed >> np.uint64(40)).astype(np.int64) % buckets)[own])
+        of.append(rows[: len(h)][own])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,14 +75,31 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
                     yield i, c[at : at + PIECE + LONGEST - 1]
 
 
+def blocks(texts: list[str | None], buckets: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature, row) of all n-grams of many texts, about PIECE code points at a time."""
+    held, rows, size = [], [], 0
+    for i, c in pieces(texts):
+        held.append(c)
+        rows.append(i)
+        size += len(c)
+        if size >= PIECE:
+            yield features(np.concatenate(held), buckets, longest, np.repeat(rows, [len(c) for c in held]))
+            held, rows, size = [], [], 0
+    if held:
+        yield features(np.concatenate(held), buckets, longest, np.repeat(rows, [len(c) for c in held]))
+
+
 def _counts(buckets: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             lang = batch.column(0).to_pylist()
-            for i, c in pieces(batch.column(1).to_pylist()):
-                own = np.bincount(features(c, buckets, longest), minlength=buckets)
-                total[lang[i]] = total[lang[i]] + own if lang[i] in total else own
+            names = sorted(set(lang))
+            kind = np.array([names.index(x) for x in lang])
+            for f, rows in blocks(batch.column(1).to_pylist(), buckets, longest):
+                for k in np.unique(kind[rows]):
+                    own = np.bincount(f[kind[rows] == k], minlength=buckets)
+                    total[names[k]] = total[names[k]] + own if names[k] in total else own
         for name, own in total.items():
             found = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(own[found], pa.int64())], names=["lang", "bucket", "n"])
@@ -91,7 +118,8 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: int = BUCKET
     share = F.create_map(*[x for r in shares.collect() for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["docs"])))]) if known.limit(1).count() else None
     if share is None:
         return [], np.zeros((0, buckets), dtype=np.float32)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    # By id and text, so that rows with null or equal ids are drawn one by one; equal rows are one example, drawn together.
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_counts(buckets, longest), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
@@ -105,32 +133,35 @@ def _score(model, longest: int):
         names, matrix = model.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            sums = np.zeros((len(texts), max(1, len(names))))
-            seen = np.zeros(len(texts), dtype=bool)
-            for i, c in pieces(texts):
-                seen[i] = True
-                if names:
-                    sums[i] += matrix[:, features(c, matrix.shape[1], longest)].sum(axis=1, dtype=np.float64)
+            sums, size = np.zeros((len(texts), max(1, len(names)))), np.zeros(len(texts))
+            for f, rows in blocks(texts, matrix.shape[1], longest):
+                size += np.bincount(rows, minlength=len(texts))
+                for k in range(len(names)):
+                    sums[:, k] += np.bincount(rows, weights=matrix[k, f], minlength=len(texts))
             odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-            best, score = sums.argmax(axis=1), 1.0 / odds.sum(axis=1)
+            best, seen = sums.argmax(axis=1), size > 0
             lang = [names[b] if s and names else UNKNOWN for b, s in zip(best, seen)]
-            score = np.where(seen & bool(names), score, 0.0)
+            score = np.where(seen & bool(names), 1.0 / odds.sum(axis=1), 0.0)
+            gain = pa.array(sums.max(axis=1) / np.maximum(size, 1) + np.log(matrix.shape[1]), mask=~(seen & bool(names)))
             arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lang, pa.string()), pa.array(score, pa.float64()), gain], names=[*batch.schema.names[:-1], "lang_pred", "score", "gain"])
 
     return run
 
 
 def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, longest: int = LONGEST, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the posterior probability, equal priors) to the columns ``keep``, from ``text`` alone.
+    """Adds lang_pred, score (the posterior probability, equal priors) and gain to the columns ``keep``, from ``text`` alone.
 
-    ``und`` with score 0: null texts and texts without letters.  Ties go to the first language by name.
+    ``und`` with score 0 and gain null: null texts and texts without letters.  Ties go to the first language by name.  A
+    column of ``keep`` may have any name but those of the result.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    fields = docs.select(*keep).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(_score(model, longest), schema)
+    own = [f"keep{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own)], F.col(text).cast("string").alias("text"))
+    schema = ", ".join([f"{o} {rows.schema[o].dataType.simpleString()}" for o in own] + ["lang_pred string", "score double", "gain double"])
+    found = rows.mapInArrow(_score(model, longest), schema)
+    return found.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "lang_pred", "score", "gain")
 
 
 def held_out(doc_id: Column) -> Column:

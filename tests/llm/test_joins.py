@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lodestrata.llm import jaccard
 from lodestrata.llm.decontam import build_index, find_passages, proximity_matches
 from lodestrata.llm.jaccard import similar_components
 
@@ -54,6 +56,41 @@ def test_components_against_brute_force(spark):
     assert similar_components(frame.limit(0)).count() == 0
 
 
+def test_members_of_long_lists_share_a_part():
+    rng = np.random.default_rng(4)
+    for percent in (80, 90, 95, 100):
+        for _ in range(300):
+            x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+            most = (100 - percent) * 2 * len(x) // (100 + percent)
+            y = x[rng.integers(0, most // 2 + 1) :]
+            y = np.unique(np.concatenate([y, rng.integers(0, 1 << 63, rng.integers(0, most // 2 + 1), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            ours = [{int(h) for k in (c, c + 1) for h in jaccard.parts_of(s, k, percent)} for s in (x, y) for c in [jaccard.size_class(len(s), percent)]]
+            assert ours[0] & ours[1]
+            assert sum(int(v).bit_count() for v in (jaccard.parities(x) ^ jaccard.parities(y)).view(np.uint64)) <= len(x) + len(y) - 2 * both
+
+
+def test_long_lists_stay_linear_and_whole(spark, monkeypatch):
+    """Documents that share one rare phrase and nothing else are written once each, not by pairs; those that also are alike are found."""
+    rng, made, keep = random.Random(5), {}, jaccard.materialize
+
+    def count(df, tag):
+        out = keep(df, tag)
+        if tag in ("long-lists", "rest", "star"):
+            made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", count)
+    phrase = " ".join(f"p{i}" for i in range(10))
+    rows = [(d, " ".join(rng.choices("abcd", k=40)) + f" {phrase}" * (d % 4 == 0)) for d in range(400)]
+    rows += [(400 + d, rows[4 * d][1].replace(" a b c ", " a b d ", 1)) for d in range(20)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect())
+    assert got == brute_components(rows, 80)
+    assert made["long-lists"] >= 100 and made["rest"] <= 2 * len(rows) and made["star"] <= 2 * len(rows)
+
+
 def brute_hits(docs, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
     out = []

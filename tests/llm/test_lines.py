@@ -84,7 +84,8 @@ def test_a_list_of_unlinked_lines_stays_linear(spark, monkeypatch):
 
     def count(df, tag):
         out = keep(df, tag)
-        made[tag] = out.count()
+        if tag in ("line-lists", "line-rest", "line-star"):
+            made[tag] = out.count()
         return out
 
     keep = lines.materialize

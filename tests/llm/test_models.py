@@ -27,6 +27,48 @@ def test_language_edges(spark):
     assert [r["lang_pred"] for r in nothing] == ["und"]
 
 
+def brute_language(teach, texts, buckets, longest):
+    """Counts of n-grams by dictionaries, a feature at a time."""
+    def grams(text):
+        c = [0, *[ord(x) if x.isalpha() else 0 for x in text.lower()], 0]
+        c = [x for i, x in enumerate(c) if i == 0 or x or c[i - 1]]
+        for n in range(1, longest + 1):
+            for i in range(len(c) - n + 1):
+                if n > 1 or c[i]:
+                    h = 0
+                    for k in range(n):
+                        h = (h * 0x9E3779B97F4A7C15 + c[i + k] + k + 1) % 2**64
+                    yield ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64 >> 40) % buckets
+
+    counts = {}
+    for text, lang in teach:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        own = list(grams(text))
+        logs = {lang: sum(math.log((1 + c[g]) / (buckets + sum(c.values()))) for g in own) for lang, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()), logs[best] / len(own) + math.log(buckets)))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    teach = [("The cat and the dog. É", "en"), ("le chat et le chien", "fr"), ("die Katze, der Hund", "de"), ("the end of it", "en")]
+    texts = ["the dog", "chat", "Der Hund 12 und die Katze", "xyz qq", "漢字", "a", "le le le le le le le le le le le le"]
+    names, matrix = langid.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(teach)], "doc_id long, text string, lang string"), buckets=512)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("keep0", F.lit("clash"))
+    got = sorted(langid.predict(rows, names, matrix, keep=("doc_id", "keep0")).collect())
+    for g, (lang, score, gain) in zip(got, brute_language(teach, texts, 512, langid.LONGEST)):
+        assert g["lang_pred"] == lang and abs(g["score"] - score) < 1e-4 and abs(g["gain"] - gain) < 1e-4
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('wort ', id) as text", "'de' as lang")
+    for _, matrix in [langid.fit(rows, per_language=100, buckets=64)]:
+        learned = 1 / math.exp(matrix.min())
+        assert 64 + 100 < learned < 64 + 400 * 25 * 0.6
+
+
 def test_search_against_brute_force(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(900, None), (1000, ""), (1001, "Thé 1 thé"), (1001, "thé")]
     docs = [(d, Counter(WORDS.findall((t or "").translate(FOLD)))) for d, t in rows]

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestrata.llm import queries
@@ -50,7 +51,42 @@ def test_stages_against_their_twins(spark, data, tmp_path):
     assert all(sum(n for _, n in v) <= 2048 for v in used.values())
 
 
-def test_clashing_columns_and_empty(spark, data):
+CLASH = ["score", "id", "removed", "words", "n_lines", "lang_pred", "t", "h", "matches", "hits", "found", "n_words", "gain", "carried", "kept", "Class", "node", "stays"]
+
+
+def test_clashing_columns_repeats_ties_and_long_texts(spark, data):
+    """Every stage on rows with every name that a stage uses inside, equal rows, equal ids, a long text and an unlearned language."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60 and lang is not null")
+    word = lambda d, n: " ".join(f"wort{d}x{i}" for i in range(n))
+    line = docs.where("length(text) > 300").orderBy("doc_id").first()["text"]
+    line = " ".join(line.split()[:40])
+    own = [(900, f"{line} {word(1, 9)}"), (900, f"{line} {word(1, 9)}"), (900, f"{line} {word(2, 40)}"), (901, f"{line} {word(3, 40)}"), (901, f"{line} {word(4, 40)}")]
+    own += [(902, "αβγδ εζηθ ικλμ " * 20), (903, None), (904, " \n "), (None, f"{line} {word(5, 40)}"), (905, "\n".join(word(i, 10) for i in range(10, 4000)))]
+    extra = spark.createDataFrame([(d, t, None, "own", 0) for d, t in own], docs.schema)
+    docs = docs.unionByName(extra).withColumns({c: F.lit(f"value of {c}") for c in CLASH})
+    columns, ids = docs.columns, {}
+    for name, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, data), f"test-{name}")
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert rows and all(r[c] == f"value of {c}" for r in rows for c in CLASH), name
+        ids[name] = Counter(r["doc_id"] for r in rows)
+    assert {k: ids["language_id"][k] for k in (900, 901, 902, 903, 904, 905, None)} == {900: 3, 901: 2, 902: 0, 903: 0, 904: 0, 905: 1, None: 1}
+    assert max(ids["near_duplicates"].values()) <= 2 and [ids["near_duplicates"][d] for d in (900, 901, 905, None)] == [2, 2, 1, 1]
+    packed = P.packing(spark, docs, data).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    coder, want = encoder(default_tokenizer()), Counter()
+    for r in rows:
+        want[r["doc_id"]] += len(coder.encode(r["text"])) // 4 + 1
+    assert {r["doc_id"]: r["n"] for r in packed} == want
+
+
+def test_equal_rows_leave_one(spark, data):
+    rows = spark.createDataFrame([(5, "one two three four five six", 1), (5, "one two three four five six", 2), (6, "one two three four five SIX", 3), (7, "other words here than those of it", 4), (None, "one two three four five six", 5), (None, None, 6), (8, " ", 7)], "doc_id long, text string, n int")
+    got = {r["n"] for r in P.near_duplicates(spark, rows, data).collect()}
+    assert len(got) == 4 and got - {1, 2} == {4, 6, 7}
+
+
+def test_no_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for name, stage in P.STAGES:
         docs = stage(spark, docs, data)
