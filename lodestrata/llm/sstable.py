@@ -12,6 +12,10 @@ A shard holds documents in ascending order of their keys:
 * bloom: ``k u32 | bits`` over all keys of the shard.
 * footer (fixed size): offsets of index and bloom, numbers of blocks, documents and ids, magic.
 
+Shards are as many as the session's shuffle partitions, or more where a shard would get over ``SHARD_BYTES`` of text.  A reader
+takes footer, index and blocks by ranges from any file that can seek: no file is ever in memory as a whole, and a lookup
+reads the footer, the index, the filter and one block.
+
 A key is the document's id as eight big-endian bytes with the sign bit flipped, so that byte
 order is number order; a null id is the empty key and comes first.  Rows with equal ids are all
 kept, ordered by their ids' bytes.
@@ -27,7 +31,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,7 @@ HEAD = struct.Struct("<IIIB")
 ENTRY = struct.Struct("<HHI")
 SPOT = struct.Struct("<QIQQH")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+SHARD_BYTES = 256 << 20
 MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
@@ -116,28 +120,39 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a shard from its bytes (or any buffer): all entries in order, or one key by binary search."""
-
-    def __init__(self, data):
-        self.data = memoryview(data)
-        index, bloom, n, self.docs, self.ids, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    """Reads a shard from its bytes or from a file that can seek: all entries in order, or one key by binary search."""
+
+    def __init__(self, source):
+        if not hasattr(source, "seek"):
+            source = pa.BufferReader(source)
+        self.source = source
+        size = source.seek(0, 2) if not hasattr(source, "size") else source.size()
+        if size < FOOTER.size:
+            raise ValueError("not a shard of this format")
+        index, self.bloom_at, n, self.docs, self.ids, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        self.spots, self.firsts, at = [], [], index
+        self.bloom_size = size - FOOTER.size - self.bloom_at
+        self.spots, self.firsts, at = [], [], 0
+        spots = self._read(index, self.bloom_at - index)
         for _ in range(n):
-            offset, length, docs, ids, size = SPOT.unpack_from(self.data, at)
+            offset, length, docs, ids, size = SPOT.unpack_from(spots, at)
             at += SPOT.size
             self.spots.append((offset, length, docs, ids))
-            self.firsts.append(bytes(self.data[at : at + size]))
+            self.firsts.append(spots[at : at + size])
             at += size
-        (self.bits,) = struct.unpack_from("<I", self.data, bloom)
-        self.bloom = self.data[bloom + 4 : len(self.data) - FOOTER.size]
+        self.bloom = None
+
+    def _read(self, offset: int, size: int) -> bytes:
+        self.source.seek(offset)
+        return self.source.read(size)
 
     def block(self, i: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
         """(key, ids before it in the shard, ids) of each entry of block i."""
-        offset, length, _, before, = self.spots[i]
-        size, count, entries, width = HEAD.unpack_from(self.data, offset)
-        raw = zlib.decompress(self.data[offset + HEAD.size : offset + length])
+        offset, length, _, before = self.spots[i]
+        held = self._read(offset, length)
+        _, count, entries, width = HEAD.unpack_from(held)
+        raw = zlib.decompress(held[HEAD.size :])
         values = np.frombuffer(raw, dtype=f"<u{width}", offset=entries).astype("<u4")
         at, start, key = 0, 0, b""
         for _ in range(count):
@@ -153,6 +168,9 @@ class ShardReader:
             yield from self.block(i)
 
     def may_hold(self, key: bytes) -> bool:
+        if self.bloom is None:
+            held = self._read(self.bloom_at, self.bloom_size)
+            (self.bits,), self.bloom = struct.unpack_from("<I", held), held[4:]
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self.bits))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
@@ -207,51 +225,54 @@ def write_shards(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        held = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    placed = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    placed = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     run = _writer(folder, block_bytes, tokenizer or default_tokenizer(), end_id)
     return materialize(placed.mapInArrow(run, "shard long, file string, docs long, ids long, low long, high long"), "sst-manifest")
 
 
+def _reader(folder: str):
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for listed in batches:
+            for name, before in zip(listed.column(0).to_pylist(), listed.column(1).to_pylist()):
+                with store.open_input_file(f"{root}/{name}") as source:
+                    rows, held = [], 0
+                    for key, start, ids in ShardReader(source):
+                        rows.append((id_of(key), before + start, len(ids), ids.tobytes()))
+                        held += 4 * len(ids)
+                        if held > 4 << 20:
+                            yield batch(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch(rows)
+
+    return run
+
+
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the manifest's shards, read from the files.
+    """(doc_id, start, n_tokens, ids) of every document in the manifest's shards, read from the files block by block.
 
     ids are little-endian unsigned 32-bit bytes.  ``start`` adds the ids of the shards before, from the manifest,
     which has one row a shard.
     """
-    listed = manifest.orderBy("shard").select("file", "ids").collect()
-    base, total = {}, 0
-    for row in listed:
-        base[row["file"]] = total
+    listed, total = [], 0
+    for row in manifest.orderBy("shard").select("file", "ids").collect():
+        listed.append((len(listed), row["file"], total))
         total += row["ids"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                before = base.get(path.rsplit("/", 1)[1])
-                if before is None:
-                    continue
-                rows, held = [], 0
-                for key, start, ids in ShardReader(content):
-                    rows.append((id_of(key), before + start, len(ids), ids.tobytes()))
-                    held += 4 * len(ids)
-                    if held > 4 << 20:
-                        yield _frame(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _frame(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content") if base else spark.createDataFrame([], "path string, content binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    files = spark.createDataFrame(listed, "place long, file string, before long").repartitionByRange(max(1, len(listed)), "place")
+    return files.select("file", "before").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

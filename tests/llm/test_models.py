@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.llm import langid, licenses, search
@@ -105,11 +107,47 @@ def test_license_base_phrases_against_brute_force(spark, documents):
     assert [x["label"] for x in got[903]["detections"]] == ["apache-2"]
 
 
+def brute_resolve(found):
+    kept = []
+    for p, s, e, label in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1], x[3])):
+        if not any(a <= s and e <= b for a, b, _, _ in kept):
+            kept.append((s, e, label, p))
+    return sorted(kept)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 20), st.integers(1, 8), st.sampled_from("abc")), max_size=25))
+def test_resolution_against_brute_force(found):
+    found = [(p, s, s + n, label) for p, s, n, label in found]
+    assert licenses.resolve(found) == brute_resolve(found)
+
+
+NOTICES = [
+    (b"licensed under the gnu general public license, version 3 or the gnu lesser general public license", ["gpl-3", "lgpl"]),
+    (b"released under the mit licence", ["mit"]), (b"cc-by-nc 4.0", ["cc-by-nc"]), (b"gplv2", ["gpl-2"]), (b"apache-2.0 license", ["apache-2"]), (b"nothing here", []),
+    (b"gnu general public license, v2 or (at your option) any later version", ["gpl-2-or-later"]), (b"copyright (c) 2012-2014 foo bar. all rights reserved.", ["copyright-line"]),
+    (b"spdx-license-identifier: bsd-3-clause", ["bsd-3-clause"]), (b"under the licensed", []), (b"apache software licence ver. 2", ["apache-2"]),
+]
+
+
 def test_license_rules():
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 400 and len({p.pattern for *_, p in licenses.rules()}) == len(licenses.rules())
     scan = licenses.Scanner().scan
-    for label, _, keyword, pattern in licenses.rules():
-        assert keyword and label
-    found = scan(b"licensed under the gnu general public license, version 3 or the gnu lesser general public license")[1]
-    assert [x[2] for x in found] == ["gpl-3", "lgpl"]
-    assert scan(b"nothing here")[1] == []
+    for text, want in NOTICES:
+        assert [x[2] for x in scan(text)[1]] == want, text
+
+
+def test_keywords_hide_no_match(documents):
+    """All patterns on all texts, without the prefilter, find the same."""
+    scan = licenses.Scanner().scan
+    for text in [t for t, _ in NOTICES] + [r["text"].lower().encode() for r in documents.where("text is not null").limit(40).collect()]:
+        text = text[:3000]
+        assert scan(text)[1] == brute_resolve([(n, m.start(), m.end(), label) for label, n, _, p in licenses.rules() for m in p.finditer(text)])
+
+
+def test_many_detections_ties_and_clashing_names(spark):
+    notice = "Released under the MIT licence. Or: under the MIT License! Copyright 2010 A. GPLv3 or later; "
+    rows = spark.createDataFrame([(1, notice * 3000), (1, notice), (2, "under the MIT license under the MIT license")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("base", "detections", "label", "n_words")})
+    got = sorted(licenses.scan_licenses(rows).collect(), key=lambda r: r["n_words"])
+    assert [len(r["base"]) for r in got] == [2, 1, 3000] and len(got[2]["detections"]) == 3000 * len(got[1]["detections"])
+    assert {d["label"] for d in got[1]["detections"]} == {"mit", "copyright-line", "gpl-3-or-later"}

@@ -1,3 +1,5 @@
+import io
+import os
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -164,15 +166,40 @@ def test_shards_round_trip_and_lookup(spark, documents, tmp_path):
         start += r["n_tokens"]
     found = {}
     for f in manifest.collect():
-        shard = sstable.ShardReader(open(f"{folder.removeprefix('file://')}/{f['file']}", "rb").read())
+        shard = sstable.ShardReader(Counted(f"{folder.removeprefix('file://')}/{f['file']}"))
         assert len(shard.spots) > 1 and (shard.docs, shard.ids) == (f["docs"], f["ids"])
         for doc in (None, -3, 0, 7, 150, 10**12):
             found.setdefault(doc, []).extend(shard.get(doc))
+        assert shard.source.most < os.path.getsize(shard.source.name) / 2  # no read takes the file as a whole
     assert {k: len(v) for k, v in found.items()} == {None: 1, -3: 1, 0: 1, 7: 2, 150: 1, 10**12: 0}
     assert found[-3][0].tolist() == [2]
     assert sstable.read_shards(spark, folder, sstable.write_shards(docs.limit(0), folder)).count() == 0
 
 
+class Counted(io.FileIO):
+    most = 0
+
+    def read(self, size=-1):
+        self.most = max(self.most, size if size >= 0 else 1 << 60)
+        return super().read(size)
+
+
+def test_number_of_shards_follows_the_bytes(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('text ', 200) as text", "'clash' as tie", "'clash' as ids", "'clash' as key")
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 6000)
+    folder = scratch(spark, "test-sst-bytes")
+    manifest = sstable.write_shards(docs, folder)
+    assert 9 <= manifest.count() <= 10
+    assert [r["doc_id"] for r in sstable.read_shards(spark, folder, manifest).orderBy("start").collect()] == list(range(60))
+
+
+def test_a_very_long_text(spark):
+    folder = scratch(spark, "test-sst-long")
+    docs = spark.createDataFrame([(2, "long words " * 300_000), (1, "a")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sstable.read_shards(spark, folder, sstable.write_shards(docs, folder, shards=1)).collect()}
+    assert rows[2]["start"] == 2 and bytes(rows[2]["ids"]) == library("long words " * 300_000) + struct.pack("<I", 2)
+
+
 def test_a_broken_shard_is_refused():
     with pytest.raises(ValueError):
         sstable.ShardReader(b"x" * 100)
