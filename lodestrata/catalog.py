@@ -148,10 +148,13 @@ def concept_backlink_counts(spark, sf):
     return X.links(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-@query(prelude("kdef", "kimp") + "SELECT DISTINCT d.path, d.symbol::VARCHAR AS symbol, i.path AS dependent, 'IMPORTS' AS rel FROM kdef d JOIN kimp i USING (symbol) WHERE d.path <> i.path")
+@query(
+    prelude("kdef", "kimp", "kref")
+    + "SELECT DISTINCT d.path, d.symbol::VARCHAR AS symbol, i.path AS dependent, rel FROM kdef d JOIN (SELECT path, symbol, 'IMPORTS' AS rel FROM kimp UNION ALL SELECT path, symbol, 'REFERENCES' FROM kref) i USING (symbol) WHERE d.path <> i.path"
+)
 def file_impact_tree(spark, sf):
     d, i = X.keys(spark, sf)
-    g = {"defined_in": d, "imports": i.withColumn("line", F.lit(1)), "references": i.limit(0).withColumn("line", F.lit(1))}
+    g = {"defined_in": d, "imports": i.withColumn("line", F.lit(1)), "references": X.key_references(spark, sf).withColumn("line", F.lit(1))}
     return graph.file_impact(g, d.select("path"))
 
 
@@ -227,8 +230,8 @@ def clean_graph_view(spark, sf):
 
 
 @query(
-    prelude("kdef", "kimp")
-    + "SELECT d.path, count(DISTINCT i.path) AS affected_files, count(DISTINCT d.symbol) AS symbols, CASE WHEN count(DISTINCT i.path) > 5 THEN 'HIGH' WHEN count(DISTINCT i.path) >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM kdef d JOIN kimp i USING (symbol) WHERE d.path <> i.path GROUP BY d.path"
+    prelude("kdef", "kimp", "kref")
+    + "SELECT d.path, count(DISTINCT i.path) AS affected_files, count(DISTINCT d.symbol) AS symbols, CASE WHEN count(DISTINCT i.path) > 5 THEN 'HIGH' WHEN count(DISTINCT i.path) >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM kdef d JOIN (SELECT path, symbol FROM kimp UNION ALL SELECT path, symbol FROM kref) i USING (symbol) WHERE d.path <> i.path GROUP BY d.path"
 )
 def impact_summary_risk(spark, sf):
     return graph.impact_summary(file_impact_tree(spark, sf))
@@ -304,7 +307,10 @@ def outline_plain_l1(spark, sf):
     return _outlines(spark, sf).select("path", "l0_summary", F.sha2("l1_architecture", 256).alias("l1"), F.length("l1_architecture").alias("n"))
 
 
-@query()
+@query(
+    prelude("src")
+    + "SELECT path, 'Defines: ' || name || ', test_' || lower(name) AS l0_summary, 'class ' || name || chr(10) || '    def size(self)' || chr(10) || '    def brand(self)' || chr(10) || 'def test_' || lower(name) || '()' AS l1_architecture FROM src"
+)
 def outline_code(spark, sf):
     return outline.build_outlines(X.sources(spark, sf)).select("path", "l0_summary", "l1_architecture")
 
@@ -371,13 +377,13 @@ def symbol_candidates(spark, sf):
 
 
 @query(
-    "WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\b', 1)) AS w FROM documents WHERE lang = 'en'), i AS (SELECT unnest(['the', 'and', 'thon', 'inre', 'zzz']) AS symbol) "
+    r"WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}\p{M}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*'))) AS w FROM documents), i AS (SELECT unnest(['the', 'and', 'thon', 'inre', 'zzz']) AS symbol) "
     "SELECT doc_id, coalesce(string_agg(symbol, ',' ORDER BY symbol), '') AS used FROM w LEFT JOIN i ON list_contains(w.w, symbol) AND symbol <> 'and' GROUP BY doc_id"
 )
 def dependency_resolution(spark, sf):
     imported = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit("m").alias("module")) for s in ("the", "and", "thon", "inre", "zzz")])
     used = T.dependencies(F.col("text"), imported, F.lit("and"))
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.array_join(F.transform(used, lambda d: d["symbol"]), ",").alias("used"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(used, lambda d: d["symbol"]), ",").alias("used"))
 
 
 @query("SELECT p_partkey, upper(p_name[1]) || regexp_extract(p_name, '^\\w(\\w*)', 1) || p_partkey AS targets FROM part")
@@ -639,12 +645,20 @@ def relation_names(spark, sf):
 # G. Code and compiler indexes.
 
 
-@query()
+@query(
+    prelude("src")
+    + "SELECT path, unnest(['import', 'import', 'declaration', 'declaration', 'declaration', 'reference', 'reference', 'declaration', 'reference', 'reference']) AS relation, "
+    "unnest(['make_brand', 'os', name, 'size', 'brand', 'make_brand', 'size', 'test_' || lower(name), name, 'size']) AS name, unnest(['', '', 'class', 'method', 'method', 'call', 'call', 'function', 'call', 'call']) AS kind, "
+    "unnest([1, 2, 5, 8, 11, 12, 12, 15, 16, 17])::INT AS line, unnest([NULL, NULL, NULL, name, name, NULL, NULL, NULL, NULL, NULL]) AS parent FROM src"
+)
 def python_symbols(spark, sf):
     return symbols.extract_symbols(X.sources(spark, sf)).select("path", "relation", "name", "kind", "line", "parent")
 
 
-@query()
+@query(
+    "SELECT 'src/Part' || p_partkey || '.rs' AS path, unnest(['import', 'declaration', 'declaration', 'reference']) AS relation, unnest(['Brand', 'Part' || p_partkey, 'size', 'check']) AS name, "
+    "unnest(['', 'struct', 'method', 'call']) AS kind, unnest([1, 3, 8, 9])::INT AS line, unnest([NULL, NULL, 'Part' || p_partkey, NULL]) AS parent FROM part"
+)
 def lexical_symbols(spark, sf):
     p = table(spark, sf, "part")
     name = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
@@ -671,12 +685,19 @@ def manifest_indexer(spark, sf):
     return c.select("conv_id", sources.manifest_indexer(files).alias("language"))
 
 
-@query()
+@query(
+    prelude("src")
+    + "SELECT path, '# File: ' || path || chr(10) || '# Module: shop.tests.part' || k || chr(10) || '# Skeleton' || chr(10) || '# Imports: shop.brands, os' || chr(10) || 'class ' || name || '  # A part.' || chr(10) "
+    "|| '    def size(self)' || chr(10) || '    def brand(self)' || chr(10) || 'def test_' || lower(name) || '()' AS text FROM src"
+)
 def skeleton_chunks(spark, sf):
     return chunking.chunk_documents(X.sources(spark, sf)).where("chunk_type = 'ast_skeleton'").select("path", "text")
 
 
-@query()
+@query(
+    prelude("src")
+    + "SELECT path, unnest([1, 2])::INT AS chunk_no, unnest([name, 'test_' || lower(name)]) AS scope, unnest([47, 173 + n + z])::INT AS start_char, unnest([171 + n + z, 223 + 3 * n + z])::INT AS end_char, NULL::VARCHAR AS parent_id FROM src"
+)
 def code_chunks(spark, sf):
     return chunking.chunk_documents(X.sources(spark, sf), limit=60, overlap=10, stub=30, coalesce=50).where("chunk_type = 'ast_code'").select("path", "chunk_no", "scope", "start_char", "end_char", "parent_id")
 

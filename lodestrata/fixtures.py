@@ -27,7 +27,7 @@ def links(spark, sf) -> DataFrame:
 
 
 def _lines(spark, sf, where: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where(f"l_orderkey % 10 = 0 and {where}").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    return table(spark, sf, "lineitem").where(where).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
 
 
 def _named(spark, sf, where: str) -> DataFrame:
@@ -57,6 +57,11 @@ def keys(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return pair(1), pair(2)
 
 
+def key_references(spark: SparkSession, sf: str) -> DataFrame:
+    """References to parts by key, from orders."""
+    return _lines(spark, sf, "l_linenumber >= 3").select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_partkey").cast("string").alias("symbol")).distinct()
+
+
 def wanted(spark: SparkSession, sf: str) -> DataFrame:
     """The names that lookups ask for: those of the first parts, a link target, a page's tail, a title."""
     own = table(spark, sf, "part").where("p_partkey < 3").select(F.upper("p_name").alias("name"))
@@ -125,7 +130,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # SQL of the same.
-LINE = "(SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)"
+LINE = "lineitem"
 SQL = {
     "pages": rf"pg AS (SELECT page_id, regexp_extract(url, '{PATH}', 1) AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html FROM pages)",
     "links": "links AS (SELECT DISTINCT path AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pg)",
@@ -139,6 +144,8 @@ SQL = {
     "q": "q AS (SELECT DISTINCT name AS query, lower(name) AS low FROM (SELECT upper(p_name) AS name FROM part WHERE p_partkey < 3 UNION ALL VALUES ('/THE'), ('25'), ('/de') UNION ALL SELECT title FROM pg WHERE page_id = 1))",
     "kdef": f"kdef AS (SELECT DISTINCT l_partkey AS symbol, l_suppkey::VARCHAR AS path FROM {LINE} WHERE l_linenumber = 1)",
     "kimp": f"kimp AS (SELECT DISTINCT l_partkey AS symbol, l_suppkey::VARCHAR AS path FROM {LINE} WHERE l_linenumber = 2)",
+    "kref": f"kref AS (SELECT DISTINCT 'order/' || l_orderkey AS path, l_partkey AS symbol FROM {LINE} WHERE l_linenumber >= 3)",
+    "src": r"src AS (SELECT p_partkey AS k, p_size, upper(p_name[1]) || regexp_extract(p_name, '^\w(\w*)', 1) || p_partkey AS name, 'shop/tests/part' || p_partkey || '.py' AS path, len(regexp_extract(p_name, '^\w+') || p_partkey) AS n, len(p_size::VARCHAR) AS z FROM part)",
     "kdep": "kdep AS (SELECT i.path AS src, d.path AS dst, count(*) AS n FROM kimp i JOIN kdef d USING (symbol) WHERE i.path <> d.path GROUP BY ALL)",
     "eps": "eps AS (SELECT conv_id || ':' || turn AS name, text AS content, conv_id * 1000 + turn AS t, role AS project, conv_id % 7 = 0 AS superseded FROM conversations)",
     "fcts": "fcts AS (SELECT p_name AS source, p_brand AS target, p_type || ' of size ' || p_size AS fact, p_partkey AS t, p_partkey % 5 = 0 AS superseded FROM part)",

@@ -188,6 +188,23 @@ def register_functions(spark: SparkSession) -> None:
         "try_divide(aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, v) -> s + v), "
         "sqrt(aggregate(a, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v)) * sqrt(aggregate(b, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v)))"
     )
+    last = r"element_at(split(regexp_replace({0}, '[/#().:$!]+$', ''), '[\\s/#`]+'), -1)"
+    name = r"regexp_replace({0}, '^[`().#]+|[`().#]+$', '')"
+    named = name.format(last.format("s"))
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION scip_name(s STRING) RETURNS STRING RETURN CASE WHEN coalesce(s, '') = '' THEN 'anonymous' "
+        rf"WHEN startswith(s, 'local ') THEN regexp_replace(s, ' ', ':') WHEN length({named}) > 0 THEN {named} ELSE s END"
+    )
+    head = "substring_index(s, '#', 1)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION scip_parent(s STRING) RETURNS STRING RETURN CASE WHEN contains(s, '#') AND length({head}) > 0 THEN {name.format(last.format(head))} ELSE '' END")
+    parts = [rf"`({IDENTIFIER})`", rf"(?i)(?:{INTENTS})\s+({IDENTIFIER})", rf"\b({IDENTIFIER})\s*\(", r"\b([A-Z][a-zA-Z0-9]*[a-z][A-Za-z0-9]*)\b", r"\b([a-z][a-z0-9]*_[a-z0-9_]+)\b"]
+    found = ", ".join("regexp_extract_all(q, '{}', 1)".format(p.replace("\\", "\\\\")) for p in parts)
+    clean = r"regexp_replace(q, '^\\s+|\\s+$', '')"
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION symbol_candidates(q STRING) RETURNS ARRAY<STRING> RETURN slice(array_distinct(filter(concat({found}, "
+        f"CASE WHEN {clean} RLIKE '^{IDENTIFIER}$' THEN array({clean}) ELSE array() END), c -> length(c) >= 3 AND lower(c) NOT IN ({stop}))), 1, 5)"
+    )
     spark.udtf.register("chunk_document", chunk_document_udtf())
     spark.udtf.register("extract_symbols", extract_symbols_udtf())
     spark.udtf.register("extract_links", extract_links_udtf())

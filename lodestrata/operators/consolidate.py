@@ -6,25 +6,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import components, written
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node -> component (its smallest node): least labels along edges (a, b, ...) until none changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = nodes.select("node").distinct().withColumn("component", F.col("node"))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        new = _kept(new)
-        if not new.where("moved").limit(1).count():
-            return new.select("node", "component")
-        label = new.select("node", "component")
+#: Edges of a component up to which its communities are found in one place.
+MOST_EDGES = 200_000
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed where there is a folder for it, else cached."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return df.checkpoint() if folder else df.persist()
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node -> component (its smallest node); the number of rounds grows with the logarithm of a component's size."""
+    found = components(edges.select("a", "b"), "connected").withColumnRenamed("id", "node")
+    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> float:
@@ -86,15 +77,20 @@ def _louvain(component: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": names, "community": [least[c] for c in of]})
 
 
-def louvain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """Weighted edges (a, b, weight), nodes (node) -> node, community (its smallest node).
 
-    A component is worked on in one place, which suits graphs of files; for graphs of another size there is
-    label_propagation.  Nodes without an edge are communities of their own.
+    A component of at most ``most_edges`` edges is worked on in one place; in larger ones, which may be most of a graph,
+    communities come from label_propagation, which is never in one place.  Nodes without an edge are communities of their own.
     """
     label = connected(edges, nodes)
-    own = edges.join(label.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "weight")
-    found = own.groupBy("component").applyInPandas(lambda p: _louvain(p), "node string, community string")
+    own = written(edges.join(label.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "weight"), "component-edges")
+    large = written(own.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("component"), "large-components")
+    found = own.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda p: _louvain(p), "node string, community string")
+    if not large.isEmpty():
+        far = own.join(large, "component", "left_semi")
+        ends = far.select(F.col("a").alias("node")).unionByName(far.select(F.col("b").alias("node")))
+        found = found.unionByName(label_propagation(far, ends))
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
@@ -107,7 +103,7 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> Da
         votes = both.join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "community", "weight")
         votes = votes.unionByName(label.withColumn("weight", F.lit(1).cast(votes.schema["weight"].dataType)))
         sums = votes.groupBy("node", "community").agg(F.sum("weight").alias("weight"))
-        label = _kept(sums.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "community")).alias("m")).select("node", F.col("m.community").alias("community")))
+        label = written(sums.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "community")).alias("m")).select("node", F.col("m.community").alias("community")), "labels")
     return label
 
 

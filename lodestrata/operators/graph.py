@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 Graph = dict[str, DataFrame]
 
 
@@ -23,17 +25,19 @@ def find_definition(g: Graph, names: DataFrame) -> DataFrame:
     symbols = g["defined_in"].join(q, F.lower("symbol") == F.col("low")).select("query", "symbol", "path", F.coalesce("kind", F.lit("symbol")).alias("kind"), F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("signature", F.lit("")).alias("signature"))
     notes = g["files"].where("is_markdown")
     by_title = notes.join(q, F.lower("title") == F.col("low"))
-    # A path ends with a name if one of its tails equals it: an equality instead of a comparison of all pairs.
-    tails = notes.withColumn("tail", F.explode(_tails(F.lower("path"))))
-    by_path = tails.join(q, F.col("tail") == F.col("low")).drop("tail")
+    by_path = _ending(notes, "path", q)
     found = by_title.unionByName(by_path).select("query", F.coalesce("title", "path").alias("symbol"), "path").distinct()
     return symbols.distinct().unionByName(found.select("query", "symbol", "path", F.lit("document").alias("kind"), F.lit(1).alias("line"), F.lit("").alias("signature")))
 
 
-def _tails(path: Column) -> Column:
-    """Every suffix of a path that starts at a character, at most 255 long."""
-    n = F.length(path)
-    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(255))), lambda k: F.right(path, k))
+def _ending(rows: DataFrame, path: str, q: DataFrame) -> DataFrame:
+    """Rows whose path ends with a wanted name, as an equality: of each path only tails of lengths that occur among the names are compared.
+
+    The lengths are one row.
+    """
+    lengths = q.agg(F.collect_set(F.length("low")).alias("_lengths"))
+    tails = rows.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length(path))
+    return tails.withColumn("_tail", F.right(F.lower(path), F.col("_n"))).join(q, F.col("_tail") == F.col("low")).drop("_tail", "_n", "_lengths")
 
 
 def find_references(g: Graph, names: DataFrame) -> dict[str, DataFrame]:
@@ -53,7 +57,7 @@ def backlinks(g: Graph, names: DataFrame) -> DataFrame:
     q = _wanted(names)
     to_file = g["links"].where("is_resolved").join(g["files"].select(F.col("path").alias("target"), "title"), "target", "left")
     by_title = to_file.join(q, F.lower("title") == F.col("low")).drop("low")
-    by_path = to_file.withColumn("tail", F.explode(_tails(F.lower("target")))).join(q, F.col("tail") == F.col("low")).drop("low", "tail")
+    by_path = _ending(to_file, "target", q).drop("low")
     concept = g["links"].where("not is_resolved").join(q, F.lower("target") == F.col("low")).drop("low").withColumn("title", F.lit(None).cast("string"))
     return by_title.unionByName(by_path).unionByName(concept).select("query", "src", "target", "label", "line", "link_type").distinct()
 
@@ -112,18 +116,15 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def impact_transitive(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Edges (src depends on dst), seeds (node) -> (node, depth): all that depend on a seed within ``depth`` hops, each at its
-    least depth.  The depth is held between 1 and 5.  Each hop joins the new nodes only, and drops what is known; every second
-    hop is checkpointed if there is a folder for it."""
-    depth = max(1, min(5, depth))
+    least depth.  The depth is held between 1 and 5.  Each hop joins the new nodes only, drops what is known, and is a written
+    table, so that a plan never holds the hops before; it ends when a hop finds nothing new."""
     edges = edges.select("src", "dst").distinct()
-    spark = edges.sparkSession
-    seen = frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    for d in range(1, depth + 1):
+    seen = frontier = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "impact")
+    for d in range(1, max(1, min(5, depth)) + 1):
         nxt = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = nxt.withColumn("depth", F.lit(d))
-        if folder and d % 2 == 0:
-            frontier = frontier.checkpoint()
+        frontier = written(nxt.withColumn("depth", F.lit(d)), "impact")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

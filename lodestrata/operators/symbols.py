@@ -21,7 +21,14 @@ def _row(path, relation, name, kind="", line=1, signature="", docstring="", pare
 
 
 # Python: the standard parser.
-def python_symbols(path: str, text: str) -> list[tuple]:
+def parsed(text: str) -> ast.Module | None:
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def python_symbols(path: str, text: str, tree: ast.Module) -> list[tuple]:
     out, lines = [], text.splitlines()
 
     def signature(node) -> str:
@@ -48,7 +55,7 @@ def python_symbols(path: str, text: str) -> list[tuple]:
                     out.append(_row(path, "reference", name, "call", child.lineno))
             visit(child, inside)
 
-    visit(ast.parse(text), None)
+    visit(tree, None)
     return out
 
 
@@ -161,20 +168,25 @@ def lexical_symbols(path: str, text: str, family: str) -> list[tuple]:
     return out
 
 
-def symbols_of(path: str, text: str | None) -> list[tuple]:
-    """All declarations, imports and references of a source text; an unknown kind of file has none."""
+def symbols_of(path: str, text: str | None, tree: ast.Module | None = None) -> list[tuple]:
+    """All declarations, imports and references of a source text; an unknown kind of file has none.  ``tree``: if it is parsed already."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     if not text:
         return []
     if ext == "py":
+        tree = tree or parsed(text)
         try:
-            return python_symbols(path, text)
-        except (SyntaxError, ValueError, RecursionError):
-            found = re.finditer(rf"^([ \t]*)(?:async\s+)?(def|class)\s+({_ID})", text, re.M)
-            return [_row(path, "declaration", m[3], "class" if m[2] == "class" else "method" if m[1] else "function", text.count("\n", 0, m.start(3)) + 1, m[0].strip()) for m in found]
+            return python_symbols(path, text, tree) if tree is not None else _broken(path, text)
+        except RecursionError:
+            return _broken(path, text)
     return lexical_symbols(path, text, _FAMILY[ext]) if ext in _FAMILY else []
 
 
+def _broken(path: str, text: str) -> list[tuple]:
+    found = re.finditer(rf"^([ \t]*)(?:async\s+)?(def|class)\s+({_ID})", text, re.M)
+    return [_row(path, "declaration", m[3], "class" if m[2] == "class" else "method" if m[1] else "function", text.count("\n", 0, m.start(3)) + 1, m[0].strip()) for m in found]
+
+
 def _frames(function: Callable, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

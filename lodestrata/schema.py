@@ -18,6 +18,7 @@ EPISODES = (
     "name string, content string, created_at timestamp, project string, tags string, superseded boolean, superseded_by string, "
     "superseded_at timestamp, superseded_reason string"
 )
+ARCHIVE = EPISODES + ", archived_at timestamp"
 ENTITIES = "name string, summary string, entity_type string, updated_at timestamp"
 MENTIONS = "episode string, entity string"
 FACTS = "source string, target string, fact string, relation string, created_at timestamp, superseded boolean, superseded_by string, superseded_at timestamp, superseded_reason string"
@@ -33,13 +34,17 @@ OUTLINES = "path string, l0_summary string, l1_architecture string, l2_reference
 KEYS = {
     "files": ["path"], "defined_in": ["symbol", "path", "kind", "line", "signature", "docstring", "parent"], "imports": ["path", "symbol", "module", "line"],
     "references": ["path", "symbol", "line", "kind"], "links": ["src", "target", "label", "line", "link_type", "raw_target"], "sections": ["id"], "tags": ["path", "tag"],
-    "relations": ["symbol", "other", "rel", "scip_id"], "episodes": ["name"], "entities": ["name"], "mentions": ["episode", "entity"], "facts": ["source", "target", "fact", "relation"],
+    "relations": ["symbol", "other", "rel", "scip_id"], "episodes": ["name"], "archive": ["name", "created_at"], "chunks": ["path", "chunk_no"], "entities": ["name"], "mentions": ["episode", "entity"], "facts": ["source", "target", "fact", "relation"],
     "invariants": ["rule"], "subsystems": ["id", "name"], "belongs_to": ["path", "subsystem"], "vectors": ["point_id"], "file_cache": ["path", "collection"],
     "embedding_cache": ["chunk_sha256", "model"], "outlines": ["path"],
 }
 TABLES = {
     "documents": DOCUMENTS, "chunks": CHUNKS, "files": FILES, "defined_in": DEFINED_IN, "imports": IMPORTS, "references": REFERENCES, "links": LINKS,
-    "sections": SECTIONS, "tags": TAGS, "relations": RELATIONS, "episodes": EPISODES, "entities": ENTITIES, "mentions": MENTIONS, "facts": FACTS,
+    "sections": SECTIONS, "tags": TAGS, "relations": RELATIONS, "episodes": EPISODES, "archive": ARCHIVE, "entities": ENTITIES, "mentions": MENTIONS, "facts": FACTS,
     "invariants": INVARIANTS, "subsystems": SUBSYSTEMS, "belongs_to": BELONGS_TO, "vectors": VECTORS, "file_cache": FILE_CACHE,
     "embedding_cache": EMBEDDING_CACHE, "outlines": OUTLINES,
 }
+#: The column whose hash decides a row's bucket: what a write replaces by it touches its buckets alone.
+BUCKET_BY = {name: "path" for name in ("files", "defined_in", "imports", "references", "sections", "tags", "belongs_to", "vectors", "file_cache", "outlines", "chunks")} | {
+    "links": "src", "relations": "symbol", "episodes": "name", "archive": "name", "entities": "name", "mentions": "episode", "facts": "source", "invariants": "rule", "embedding_cache": "chunk_sha256",
+}

@@ -27,8 +27,19 @@ def scan_files(spark: SparkSession, root: str, exts: Sequence[str] | None = None
     return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").cast("double").alias("mtime"), T.extension(F.col("path")).alias("ext"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The files of these paths that exist, with the columns of scan_files."""
+    fs = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [p for p in paths if fs(spark._jvm.org.apache.hadoop.fs.Path(p)).isFile(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    if not there:
+        return spark.createDataFrame([], "path string, text string, mtime double, ext string, sha256 string")
+    rows = spark.read.format("binaryFile").load(there)
+    path = F.regexp_replace("path", r"^file:/*", "/")
+    return rows.select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").cast("double").alias("mtime"), T.extension(path).alias("ext"), F.sha2("content", 256).alias("sha256"))
+
+
 def whole_texts(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/").alias("path"), F.col("value").alias("text"))
 
 

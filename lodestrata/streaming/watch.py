@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +45,37 @@ def read_events(spark: SparkSession, folder: str, fmt: str = "json") -> DataFram
     return spark.readStream.schema(EVENTS).format(fmt).load(folder)
 
 
-def watch(events: DataFrame, sync: Callable[[DataFrame], None], remove: Callable[[DataFrame], None], checkpoint: str, gap: str = "2 seconds", watermark: str = "10 seconds"):
-    """Starts the stream: deletes are removed at once, changes synced when their run is over.  Each micro-batch hands (path) frames
-    to ``remove`` and ``sync``, deletes first; both replace by key, so that a repeated batch does no harm."""
-    runs = debounce(expand_moves(events), gap, watermark)
+class Watch:
+    """Two streams that belong together."""
 
-    def act(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        remove(batch.where("event_type = 'deleted'").select("path").distinct())
-        sync(batch.where("event_type <> 'deleted'").select("path").distinct())
-        batch.unpersist()
+    def __init__(self, *queries):
+        self.queries = queries
 
-    return runs.writeStream.outputMode("append").foreachBatch(act).option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+    @property
+    def isActive(self) -> bool:  # noqa: N802  as a query's
+        return all(q.isActive for q in self.queries)
+
+
+def watch(events: DataFrame, sync: Callable[[DataFrame], None], remove: Callable[[DataFrame], None], checkpoint: str, gap: str = "2 seconds", watermark: str = "10 seconds") -> Watch:
+    """Starts the streams: deletes are removed at once, changes synced when their run is over.  Each micro-batch hands (path) frames
+    to ``remove`` or ``sync``.  Both replace by key, so that a repeated batch does no harm; they never run at the same time.  A delete
+    that is followed by a change is removed and, when the run is over, synced; a run that ends with a delete is not synced."""
+    moves, lock = expand_moves(events), threading.Lock()
+
+    def guarded(act: Callable[[DataFrame], None], wanted: str) -> Callable[[DataFrame, int], None]:
+        def run(batch: DataFrame, number: int) -> None:
+            batch = batch.persist()
+            paths = last_event(batch).where(wanted).select("path") if wanted.startswith("event_type =") else batch.where(wanted).select("path").distinct()
+            with lock:
+                if not paths.isEmpty():
+                    act(paths)
+            batch.unpersist()
+
+        return run
+
+    start = lambda rows, act, wanted, name: rows.writeStream.outputMode("append").foreachBatch(guarded(act, wanted)).option("checkpointLocation", f"{checkpoint}/{name}").trigger(processingTime="500 milliseconds").start()
+    return Watch(start(moves, remove, "event_type = 'deleted'", "deletes"), start(debounce(moves, gap, watermark), sync, "event_type <> 'deleted'", "changes"))

@@ -189,5 +189,95 @@ def test_engine(spark, tmp_path):
     (root / "session.py").unlink()
     assert e.index(str(root))["deleted"] == 1
     assert not e.trace_impact("StorageEngine")["direct_impacts"]
-    assert e.consolidate(invariants=[{"rule": "r"}])["subsystems"] >= 1
+    e.record_outcome("choice two", "Rows are kept elsewhere.", supersedes=["choice"], tags=["db"], project="shop")
+    done = e.consolidate(purge=True, invariants=[{"rule": "r"}])
+    assert done["subsystems"] >= 1 and done["archived"] == 1
+    assert [r["name"] for r in e.store.read("archive").collect()] == ["choice"] and [r["name"] for r in e.store.read("episodes").collect()] == ["choice two"]
+    notes = files.journal_entries(files.whole_texts(spark, str(tmp_path / "db/journal"))).collect()
+    assert {r["title"]: list(r["tags"]) for r in notes}["choice two"] == ["db"]
+    assert len(list((tmp_path / "db/reports").glob("*.md"))) == 1
     assert set(e.health().values()) == {"ok"} and e.statistics()["n_files"] == 2
+
+
+def test_engine_impact_commits_hybrid_and_plugins(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("from b import Base\n\n\nclass Api:\n    def run(self):\n        return Base()\n")
+    (root / "b.py").write_text("from c import Core\n\n\nclass Base:\n    def go(self):\n        return Core()\n")
+    (root / "c.py").write_text("class Core:\n    def xylophone(self):\n        return 1\n")
+    e = Engine(spark, str(tmp_path / "db"), embedder=lambda t: [1.0, 0.0], extractor=lambda t: {"facts": [{"source": "a", "relation": "has", "target": "b", "fact": t}]})
+    commits = spark.createDataFrame([(str(root / "a.py"), "abc123", "2024-01-01", "first")], "path string, commit_hash string, commit_date string, commit_msg string")
+    e.index(str(root), commits=commits)
+    chunks = {r["path"].rsplit("/", 1)[1]: r["commit_hash"] for r in e.store.read("chunks").select("path", "commit_hash").distinct().collect()}
+    assert chunks == {"a.py": "abc123", "b.py": "untracked", "c.py": "untracked"}
+    reach = lambda name, way: [r["node"].rsplit("/", 1)[1] for r in e.trace_impact(name, way)["transitive"]]
+    assert reach("Core", "upstream") == ["b.py", "a.py"] and reach("Api", "downstream") == ["b.py", "c.py"] and reach("Core", "downstream") == []
+    assert e.record_outcome("o", "The port is 1.")["facts"] == 1
+    assert "xylophone" in e.search("xylophone").split("## Snippets")[1]  # all vectors are alike: found by words
+    e.reranker = lambda q, t: 1 / 0
+    assert "xylophone" in e.search("xylophone").split("## Snippets")[1]
+
+
+def test_a_changed_file_rewrites_its_buckets_only(spark, tmp_path):
+    s = Store(spark, str(tmp_path), buckets=8)
+    s.upsert("tags", spark.range(100).selectExpr("concat('p', id) as path", "'x' as tag"))
+    before = s._folders("tags")
+    one = spark.createDataFrame([("p7", "y")], schema.TAGS)
+    s.replace_by("tags", one, "path", one)
+    after = s._folders("tags")
+    assert set(after) == set(before) and sum(before[b] != after[b] for b in before) == 1
+    s.delete_by("tags", "path", spark.createDataFrame([("p7",), ("p8",)], "path string"))
+    assert s.read("tags").count() == 98
+    s.vacuum("tags", 1)
+    assert s.read("tags").count() == 98 and s.read("tags").where("tag = 'y'").count() == 0
+
+
+def test_stale_relations_go(spark, tmp_path, monkeypatch):
+    e, made = Engine(spark, str(tmp_path)), "symbol string, other string, rel string, scip_id string"
+    docs = spark.createDataFrame([("a.py",)], "relative_path string")
+    tables = lambda rel: {
+        "files": spark.createDataFrame([("a.py", None, False)], schema.FILES), "defined_in": spark.createDataFrame([("A", "a.py", "class", 1, "", "", "")], schema.DEFINED_IN),
+        "imports": spark.createDataFrame([], schema.IMPORTS), "references": spark.createDataFrame([], schema.REFERENCES), "relations": spark.createDataFrame([("A", rel, "IMPLEMENTS", rel)], made),
+    }
+    monkeypatch.setattr(scip, "read_index", lambda *_: docs)
+    monkeypatch.setattr(scip, "index_counts", lambda _: docs.selectExpr("1 as documents"))
+    e.store.upsert("relations", spark.createDataFrame([("Z", "Other", "TYPE_OF", "z")], made))
+    for rel in ("Old", "New"):
+        monkeypatch.setattr(scip, "index_tables", lambda _, rel=rel: tables(rel))
+        e.ingest_scip("x")
+    assert {(r["symbol"], r["other"]) for r in e.store.read("relations").collect()} == {("A", "New"), ("Z", "Other")}
+
+
+def test_engine_follows_a_stream(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "new.py").write_text("class Fresh:\n    pass\n")
+    (root / "old.py").write_text("class Gone:\n    pass\n")
+    e = Engine(spark, str(tmp_path / "db"))
+    e.index(str(root))
+    (root / "new.py").write_text("class Fresher:\n    pass\n")
+    (root / "old.py").unlink()
+    rows = [(str(root / "new.py"), "modified", None, "2024-01-01T00:00:00", 1), (str(root / "old.py"), "deleted", None, "2024-01-01T00:00:01", 2), ("/none", "created", None, "2025-01-01T00:00:00", 3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps(dict(zip(("path", "event_type", "dest_path", "ts", "event_id"), r))) for r in rows))
+    q = e.watch(watch.read_events(spark, str(tmp_path / "in")), str(tmp_path / "cp"))
+    until, want = time.time() + 120, {"Fresher"}
+    while time.time() < until and "new.py" not in e.store.read_text("status.json"):
+        assert q.isActive
+        time.sleep(1)
+    q.stop()
+    assert {r["symbol"] for r in e.store.read("defined_in").collect()} == want and "new.py" in e.store.read_text("status.json")
+
+
+def test_sql_functions_are_the_expressions(spark):
+    from lodestrata.functions import text as T
+
+    T.register_functions(spark)
+    asked = ["where is `StorageEngine` and open_session(", "HashMap", "callers of do_it", "  plain ", "the class Foo", ""]
+    rows = spark.createDataFrame([(a,) for a in asked], "q string")
+    for r in rows.select("q", F.expr("symbol_candidates(q)").alias("a"), T.symbol_candidates(F.col("q")).alias("b")).collect():
+        assert r["a"] == r["b"], r
+    names = ["", "local 3", "py python shop 1.0 `shop.a`/Engine#run().", "py python shop 1.0 `shop.a`/Engine#", "x"]
+    rows = spark.createDataFrame([(a,) for a in names], "s string")
+    for r in rows.select("s", F.expr("scip_name(s)").alias("a"), T.scip_name(F.col("s")).alias("b"), F.expr("scip_parent(s)").alias("c"), T.scip_parent(F.col("s")).alias("d")).collect():
+        assert (r["a"], r["c"]) == (r["b"], r["d"]), r
