@@ -14,7 +14,7 @@ place) stays.
    of their byte counts are verified by a banded bit-parallel edit distance, and give components.
 4. Lists that still hold several components are completed across components.  t edits change the counts of at most 2 t byte
    values, so that of 2 t + 1 groups of byte values one is counted alike in both lines: only members of a list that share such a
-   group's counts are compared.  A list of m lines, alike or not, so costs about m comparisons, not the square, and no link that
+   group's counts are compared, and only pairs that are near as characters leave the join.  A list of m lines, alike or not, so costs about m comparisons, not the square, and no link that
    joins components is lost.
 
 Texts are read again for few lines only: those whose hash passes a sketch of fixed size (common.sketch).
@@ -255,9 +255,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     label = components(links)
     own = lists.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
-    own = own.join(mixed.select("key"), "key").join(texts.select("node", "parts"), "node").select("key", "node", "n", "c1", "c2", "index", "component", F.posexplode("parts").alias("group", "counts"))
+    own = own.join(mixed.select("key"), "key").join(texts.withColumn("line", F.col("line").cast("string")), "node")
+    own = own.select("key", "node", "n", "c1", "c2", "index", "component", "line", F.posexplode("parts").alias("group", "counts"))
     own = materialize(own.withColumn("key", F.xxhash64("key", "group", "counts")), "line-mixed")
     rest = own.alias("x").join(own.alias("y"), "key").where("x.node < y.node and x.component <> y.component and (x.index = 1 or y.index = 1)").where(_close("x", "y", max_edits))
+    # An edit of a byte edits one character at most: pairs that are too far apart as characters never leave the join.
+    rest = rest.where(F.levenshtein("x.line", "y.line", max_edits) >= 0)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(texts, materialize(rest, "line-rest"), verify))
     label = materialize(components(links).withColumnRenamed("id", "node"), "line-labels")
