@@ -1,12 +1,10 @@
-"""What the operators share: the run's shared folder, written intermediates, connected components."""
+"""What the operators share beside lodestrata.shared: broadcasts of a checked size, batches, sketches of fixed size."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,33 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests in local mode) a folder of this process is used; on a
-    cluster the setting is needed, as machine-local folders can't be read elsewhere.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"shared-{spark.sparkContext.applicationId}")
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, survives lost executors, has a known size."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import components, scratch  # noqa: F401  used by the operators
+from ..shared import written as materialize  # noqa: F401
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -48,6 +21,21 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+@contextmanager
+def records_a_batch(spark: SparkSession, records: int) -> Iterator[None]:
+    """So many rows an Arrow batch for what runs inside, then as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(records))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, records: int = 1000) -> None:
     """Arrow batches that stay small where documents are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
@@ -136,35 +124,3 @@ def unused(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """Connected components of an undirected graph: ``edges`` (a, b long) -> (id, component = smallest id).
-
-    Alternating large-star and small-star rounds: each is one pass of grouped minima, the number
-    of rounds grows with the logarithm of a component's size, and no component is ever in one
-    place.  Each round is a written table.  Ids without an edge to another id aren't returned.
-    """
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
-    )
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, tag)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(least, "a")
-        small = (
-            linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(linked.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        small = materialize(small, tag)
-        # A forest of stars: no node is both a child and a parent, and each child has one parent.
-        split = small.groupBy("a").count().where("count > 1").limit(1).count()
-        chained = small.join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        now = small
-        if not split and not chained:
-            roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

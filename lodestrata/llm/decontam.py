@@ -8,6 +8,7 @@ window.  Method:
 3. Store the postings (term, document, position) of these terms.
 4. Shift each posting by its term's place in the item: lists of one item that agree on document and
    shifted position intersect; one group-by with map-side minima and maxima finds where two places agree.
+   Proximity matches begin with postings whose shifts differ by a few places instead.
 5. Compare the item's words with the document's at these alignments, which finds every window exactly.
 
 Skew: a frequent term is never a rarest one unless a window has no other; postings are grouped by
@@ -87,24 +88,52 @@ def alignments(entries: DataFrame, places: DataFrame, postings: DataFrame) -> Da
     return agreed.join(entries.select("item", "width"), "item").where("low < high or width = 1").select("item", "id", "h", "shift")
 
 
-def proximity_matches(entries: DataFrame, places: DataFrame, postings: DataFrame, slop: int = 3) -> DataFrame:
-    """(item, id, h, position): two rare places of an item whose distance in the document is off by at most ``slop``, but not 0."""
+def proximity_candidates(entries: DataFrame, places: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    """(item, id, h, shift): postings of an item's rare places that have one of another place within ``slop``.
+
+    A window that occurs with words put in, left out or moved by at most ``slop`` has its two rarest terms there, at shifts that
+    differ by at most ``slop`` from that of either: every such posting is found in bands of shifts, two to a posting, by
+    grouped minima and maxima, so that a frequent term makes no pairs.
+    """
     shifted = postings.join(places, "term").select("item", "id", "h", "place", (F.col("position") - F.col("place")).alias("shift"))
     band = F.floor(F.col("shift") / (slop + 1))
-    lists = (
-        shifted.withColumn("band", F.explode(F.array(band, band - 1)))
-        .groupBy("item", "id", "h", "band")
-        .agg(F.sort_array(F.collect_list(F.struct("shift", "place"))).alias("s"))
-    )
-    near = F.filter(
-        F.transform(F.col("s"), lambda x, i: F.struct(x["shift"].alias("a"), x["place"].alias("p"), F.get("s", i + 1)["shift"].alias("b"), F.get("s", i + 1)["place"].alias("q"))),
-        lambda x: (x["b"] > x["a"]) & (x["b"] - x["a"] <= slop) & (x["p"] != x["q"]),
-    )
-    return lists.select("item", "id", "h", F.explode(near).alias("x")).select("item", "id", "h", (F.col("x.a") + F.col("x.p")).alias("position")).distinct()
+    banded = shifted.withColumn("band", F.explode(F.array(band, band - 1)))
+    agreed = banded.groupBy("item", "id", "h", "band").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_set("shift").alias("shifts"))
+    agreed = agreed.join(entries.select("item", "width"), "item").where("low < high or width = 1")
+    return agreed.select("item", "id", "h", F.explode("shifts").alias("shift")).distinct()
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
+    """Every document with the items that it holds loosely: doc_id, text, n_near, near.
+
+    near: sorted distinct item_ids with a window that doesn't occur, and each of whose words stands within ``slop`` places of where
+    the window would have it, if it began where one of its rare words says.  Items whose windows occur as they are aren't in it for those windows.
+    """
+    entries, places, postings = build_index(docs, items, window)
+    return _near(_documents(docs), entries, places, postings, slop).select("doc_id", "text", F.size("near").alias("n_near"), "near")
+
+
+def _near(documents: DataFrame, entries: DataFrame, places: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
+    found = proximity_candidates(entries, places, postings, slop).join(entries, "item")
+    found = found.groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "shift", "words", "width")).alias("close"))
+    rows = documents.join(found, ["id", "h"], "left").withColumn("_words", F.explode(F.array(words_of(F.col("text")))))
+
+    def loose(a: Column) -> Column:
+        def place(w: Column, i: Column) -> Column:
+            at = a["shift"] + i
+            around = F.exists(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.get("_words", at + d) == w)
+            return F.when(F.get("_words", at) == w, F.lit("2")).when(around, F.lit("1")).otherwise(F.lit("0"))
+
+        marks = F.array_join(F.transform(a["words"], place), "")
+        windows = F.transform(F.sequence(F.lit(0), F.size(a["words"]) - a["width"]), lambda i: F.substring(marks, i + 1, a["width"]))
+        return F.exists(windows, lambda m: ~m.contains("0") & m.contains("1"))
+
+    near = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("close", F.array().cast(found.schema["close"].dataType)), loose), lambda a: a["item_id"])))
+    return rows.withColumn("near", near).drop("_words", "close")
 
 
 def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its exact matches: doc_id, text, the columns ``keep``, n_words, matches, hits.
+    """Every document with its exact matches: doc_id, text, the columns ``keep``, n_words, matches, hits.  For loose ones see proximity_matches.
 
     matches: array of (item_id, start): each occurrence of a window, by its first word; hits: the
     document's words inside any of them, as distinct positions.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, chunks, hashes, spans
-from .common import materialize, small_batches
+from .common import materialize, records_a_batch, small_batches
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -246,8 +246,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
         cuts = np.cumsum([0, *map(len, terms)])
         wanted, place = np.unique(np.concatenate(terms), return_inverse=True)
         block = spark.sparkContext.broadcast((names, cuts, place, np.concatenate(weights), wanted))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-        found.append(materialize(index.mapInArrow(_search(block, total["words"] / total["n"], k), "number long, query_id long, doc_id long, score double"), "found"))
+        with records_a_batch(spark, 1):  # a row of the index is a shard
+            found.append(materialize(index.mapInArrow(_search(block, total["words"] / total["n"], k), "number long, query_id long, doc_id long, score double"), "found"))
         block.unpersist()
     if not found:
         return spark.createDataFrame([], schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, U, _powers, chunks, hashes, mix, spans
-from .common import materialize, small_batches
+from .common import in_sketch, materialize, sketch, small_batches
 
 MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
 #: Passages of over 50 words; the words of an anchor.
@@ -225,7 +225,8 @@ def _later_passages(rows: DataFrame, passage_words: int) -> DataFrame:
     often = materialize(often, "repeated-anchors")
     found = anchors.join(often, "h").groupBy("id", "t").agg(F.collect_set("start").alias("anchors"))
     found = materialize(found, "anchors")
-    joined = rows.alias("r").join(found.alias("f"), F.expr("r.id <=> f.id and r.t = f.t")).select("r.id", "r.t", "text", "anchors")
+    held = in_sketch(rows.sparkSession, sketch(found.select("t")))(F.col("t"))
+    joined = rows.where(held).alias("r").join(found.alias("f"), F.expr("r.id <=> f.id and r.t = f.t")).select("r.id", "r.t", "text", "anchors")
     segments = materialize(joined.mapInArrow(_segments(passage_words), "id long, t long, h long, start int, runs array<long>"), "segments")
     segments = segments.join(_first(segments, "repeated-segments"), "h", "left")
     again = F.col("first").isNotNull() & ~F.struct("id", "t", "start").eqNullSafe(F.col("first"))
@@ -248,9 +249,11 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     if passage_words:
         later = materialize(later, "later-spans")
         later = later.unionByName(_later_passages(rows, passage_words).withColumn("by_word", F.lit(True)))
-    later = later.groupBy("id", "t").agg(F.collect_set(F.struct("by_word", "start", "size")).alias("covered"))
-    joined = rows.alias("r").join(later.alias("l"), F.expr("r.id <=> l.id and r.t = l.t"), "left")
-    return joined.select("r.id", "text", "covered").mapInArrow(_cut, "doc_id long, text string, n_sentences long, removed array<int>, cut array<int>")
+    later = materialize(later.groupBy("id", "t").agg(F.collect_set(F.struct("by_word", "start", "size")).alias("covered")), "covered")
+    touched = in_sketch(docs.sparkSession, sketch(later.select("t")))(F.col("t"))  # other texts stay where they are
+    joined = rows.where(touched).alias("r").join(later.alias("l"), F.expr("r.id <=> l.id and r.t = l.t"), "left").select("r.id", "text", "covered")
+    joined = joined.unionByName(rows.where(~touched).select("id", "text", F.lit(None).cast(later.schema["covered"].dataType).alias("covered")))
+    return joined.mapInArrow(_cut, "doc_id long, text string, n_sentences long, removed array<int>, cut array<int>")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

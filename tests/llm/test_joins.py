@@ -1,11 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestrata.llm import jaccard
-from lodestrata.llm.decontam import build_index, find_passages, proximity_matches
+from lodestrata.llm.decontam import find_passages, proximity_matches
 from lodestrata.llm.jaccard import similar_components
 
 FOLD = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -130,9 +131,42 @@ def test_passages_against_brute_force(spark):
     assert all(not r["hits"] for r in find_passages(frame, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
+def brute_near(docs, items, window=10, slop=2):
+    """Of every document: items with a window all of whose words stand within slop of their places, for a shift that one of its two rarest words gives."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+    count = Counter(w for _, t in docs for w in words(t))
+    out = {}
+    for d, t in docs:
+        w, out[d] = words(t), set()
+        for i, s in items:
+            v = words(s)
+            n, rare = min(window, len(v)), set()
+            starts = range(len(v) - n + 1) if v else ()
+            for a in starts:
+                if all(count[x] for x in v[a : a + n]):
+                    rare |= set(sorted(range(a, a + n), key=lambda k: (count[v[k]], k))[:2])
+            at = {(p, b) for p in rare for b in range(len(w)) if w[b] == v[p]}
+            shifts = {b - p for p, b in at if n == 1 or any(q != p and abs((c - q) - (b - p)) <= slop for q, c in at)}
+            for shift in shifts:
+                mark = ["2" if 0 <= shift + k < len(w) and w[shift + k] == x else "1" if x in w[max(0, shift + k - slop) : max(0, shift + k + slop + 1)] else "0" for k, x in enumerate(v)]
+                out[d] |= {str(i) for a in starts if "0" not in mark[a : a + n] and "1" in mark[a : a + n]}
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def test_proximity_against_brute_force(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    docs = [(1, item.replace("epsilon", "epsilon extra")), (2, item), (3, "nothing of it")]
-    entries, places, postings = build_index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
-    found = {r["id"] for r in proximity_matches(entries, places, postings, 2).collect()}
-    assert 2 not in found and 3 not in found
+    docs = [(1, item.replace("epsilon", "epsilon extra")), (2, item), (3, "nothing of it"), (4, item.replace("alpha", "alpha x")), (5, item.replace("iota kappa", "kappa iota")), (6, item.replace("zeta", "zeta a b c d")), (7, None), (8, " ".join(reversed(item.split())))]
+    docs += [(9, "alpha alpha alpha kappa " * 50), (10, "Beta, " + item.replace("gamma", "gamma and").upper())]
+    rng = random.Random(3)
+    for d in range(20, 60):
+        own = item.split()
+        for _ in range(rng.randrange(4)):
+            own.insert(rng.randrange(11), rng.choice(["x", "y", "beta"]))
+        docs.append((d, " ".join([*rng.choices("pqrs", k=5), *own])))
+    items = [(1, item), (2, None), (3, "kappa x y"), (4, "zz qq"), (5, "alpha")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("near", "close", "_words", "id")})
+    got = {r["doc_id"]: list(r["near"]) for r in proximity_matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert "1" in got[1] and "1" in got[4] and "1" in got[5] and "1" in got[10]
+    assert all("1" not in got[d] for d in (2, 3, 6, 7, 8))
+    assert got == brute_near(docs, items)
+    assert proximity_matches(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
