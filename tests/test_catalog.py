@@ -11,7 +11,7 @@ from lodestrata import catalog
 
 CHECKED = [
     "scan_filter_ext", "token_count_by_lang", "graph_statistics", "content_hash_dedupe", "autocomplete_symbols", "find_definition", "impact_upstream", "impact_downstream", "blast_radius",
-    "clean_graph_view", "common_prefix_name", "outline_search_topk", "markdown_headings", "symbol_candidates", "preamble_lines", "bm25_topk", "hybrid_alpha", "federated_topk", "rerank_fallback",
+    "file_impact_tree", "impact_summary_risk", "dependency_resolution", "python_symbols", "lexical_symbols", "outline_code", "skeleton_chunks", "code_chunks", "clean_graph_view", "common_prefix_name", "outline_search_topk", "markdown_headings", "symbol_candidates", "preamble_lines", "bm25_topk", "hybrid_alpha", "federated_topk", "rerank_fallback",
     "change_classification", "cache_probe_hits", "upsert_replace_file", "link_target_priority", "fact_search", "supersede_pattern_count", "scip_name_parent", "debounce_sessions", "watch_telemetry", "stop_guard",
 ]
 
