@@ -55,12 +55,13 @@ def _places(h: np.ndarray) -> np.ndarray:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(SKETCH_BITS, dtype=bool)
+    bits = np.zeros(SKETCH_BITS // 8, dtype=np.uint8)
     for batch in batches:
-        bits[_places(batch.column(0).to_numpy()).ravel()] = True
+        at = _places(batch.column(0).to_numpy()).ravel()
+        np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
     for block, own in enumerate(np.split(bits, SKETCH_BLOCKS)):
         if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], names=["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["block", "bits"])
 
 
 def _either(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
