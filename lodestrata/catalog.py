@@ -12,6 +12,7 @@ from .fixtures import prelude, table
 from .functions import text as T
 from .operators import chunking, consolidate, episodic, graph, guard, ingest, outline, retrieval, symbols
 from .plans.engine import Engine
+from .shared import written
 from .sources import files as sources
 from .store import delete_by, replace_by
 from .streaming import watch
@@ -175,7 +176,9 @@ def impact_upstream(spark, sf):
     "UNION SELECT query, r.rel, coalesce(h.path, 'unknown'), coalesce(h.line, 1) FROM rels r JOIN q ON lower(r.symbol) = low LEFT JOIN homes h ON h.symbol = r.other"
 )
 def impact_downstream(spark, sf):
-    return graph.impact_downstream(X.names(spark, sf), X.wanted(spark, sf))
+    g = X.names(spark, sf)
+    g["defined_in"] = written(g["defined_in"].select("symbol", "path", "line").distinct(), "definitions")  # joined once, read several times
+    return graph.impact_downstream(g, X.wanted(spark, sf))
 
 
 SEED = "(SELECT min(s_suppkey)::VARCHAR FROM supplier)"

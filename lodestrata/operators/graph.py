@@ -23,11 +23,14 @@ def find_definition(g: Graph, names: DataFrame) -> DataFrame:
     title it is or whose path ends with it."""
     q = _wanted(names)
     symbols = g["defined_in"].join(q, F.lower("symbol") == F.col("low")).select("query", "symbol", "path", F.coalesce("kind", F.lit("symbol")).alias("kind"), F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("signature", F.lit("")).alias("signature"))
+    notes = _notes(g, q).select("query", F.coalesce("title", "path").alias("symbol"), "path").distinct()
+    return symbols.distinct().unionByName(notes.select("query", "symbol", "path", F.lit("document").alias("kind"), F.lit(1).alias("line"), F.lit("").alias("signature")))
+
+
+def _notes(g: Graph, q: DataFrame) -> DataFrame:
+    """Notes whose title a wanted name is or whose path ends with it, with the column query."""
     notes = g["files"].where("is_markdown")
-    by_title = notes.join(q, F.lower("title") == F.col("low"))
-    by_path = _ending(notes, "path", q)
-    found = by_title.unionByName(by_path).select("query", F.coalesce("title", "path").alias("symbol"), "path").distinct()
-    return symbols.distinct().unionByName(found.select("query", "symbol", "path", F.lit("document").alias("kind"), F.lit(1).alias("line"), F.lit("").alias("signature")))
+    return notes.join(q, F.lower("title") == F.col("low")).unionByName(_ending(notes, "path", q).select(*notes.columns, "query", "low"))
 
 
 def _ending(rows: DataFrame, path: str, q: DataFrame) -> DataFrame:
@@ -82,20 +85,36 @@ def impact_upstream(g: Graph, names: DataFrame) -> DataFrame:
 
 
 def impact_downstream(g: Graph, names: DataFrame) -> DataFrame:
-    """Names -> query, relation, path, line: what the files that define them use, link to, and the types they implement."""
+    """Names -> query, relation, path, line: what the files that define them use, link to, and the types they implement.
+
+    A file counts once with all names that ask for it, and a symbol once with all names and relations that lead to it, so that
+    symbols that many files define and use cost their rows, not files times uses times definitions.
+    """
     q = _wanted(names)
-    home = g["defined_in"].join(q, F.lower("symbol") == F.col("low")).select("query", "path", F.col("symbol").alias("own")).distinct()
-    used = home.join(uses(g), "path").where("symbol <> own").select("query", "symbol", "rel", "path")
-    targets = used.join(g["defined_in"].select("symbol", F.col("path").alias("target"), "line").distinct(), "symbol", "left").select("query", F.col("rel").alias("relation"), F.coalesce("target", F.lit("unknown")).alias("path"), F.coalesce("line", F.lit(1)).alias("line"))
-    notes = find_definition(g, names).where("kind = 'document'").select("query", "path").distinct()
+    home = g["defined_in"].join(q, F.lower("symbol") == F.col("low")).groupBy("path").agg(F.sort_array(F.collect_set(F.struct("query", F.col("symbol").alias("own")))).alias("asks"))
+    home = written(home, "impact-homes")
+    own_uses = uses(g).select("path", "symbol", "rel").join(home.select("path"), "path", "left_semi")
+    used = own_uses.join(home, "path").select("asks", "symbol", "rel").distinct().withColumn("ask", F.explode("asks")).where("symbol <> ask.own")
+    targets = _located(g, used.select("ask.query", F.col("rel").alias("relation"), "symbol"))
+    notes = _notes(g, q).select("query", "path").distinct()
     links = notes.join(g["links"].select(F.col("src").alias("path"), "target", "line"), "path").select("query", F.lit("LINKS_TO").alias("relation"), F.col("target").alias("path"), "line")
     return targets.unionByName(links).unionByName(_types(g, q, "symbol", "other")).distinct()
 
 
 def _types(g: Graph, q: DataFrame, near: str, far: str) -> DataFrame:
-    rel = g["relations"].join(q, F.lower(near) == F.col("low")).select("query", "rel", F.col(far).alias("symbol"))
-    at = g["defined_in"].select("symbol", "path", "line").distinct()
-    return rel.join(at, "symbol", "left").select("query", F.col("rel").alias("relation"), F.coalesce("path", F.lit("unknown")).alias("path"), F.coalesce("line", F.lit(1)).alias("line"))
+    rel = g["relations"].join(q, F.lower(near) == F.col("low"))
+    return _located(g, rel.select("query", F.col("rel").alias("relation"), F.col(far).alias("symbol")))
+
+
+def _located(g: Graph, asked: DataFrame) -> DataFrame:
+    """(query, relation, symbol) -> query, relation, path, line of the symbols' definitions, distinct; "unknown" and 1 for a symbol without any."""
+    asked = written(asked.groupBy("symbol").agg(F.sort_array(F.collect_set(F.struct("query", "relation"))).alias("asks")), "asked-symbols")
+    at = g["defined_in"].select("symbol", "path", "line")
+    found = at.join(asked, "symbol").select("asks", "path", "line").distinct()
+    known = at.select("symbol").join(asked.select("symbol"), "symbol", "left_semi").distinct()
+    nowhere = asked.join(known, "symbol", "left_anti").select("asks", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"))
+    rows = found.unionByName(nowhere).select(F.explode("asks").alias("ask"), F.coalesce("path", F.lit("unknown")).alias("path"), F.coalesce("line", F.lit(1)).alias("line"))
+    return rows.select("ask.query", "ask.relation", "path", "line").distinct()
 
 
 def dependency_edges(defined_in: DataFrame, used: DataFrame) -> DataFrame:

@@ -56,6 +56,25 @@ def test_impact(spark, shop):
     assert nodes.where("grp = 'symbol'").count() == 3 and edges.where("rel = 'LINKS_TO'").count() == 2
 
 
+def test_downstream_of_symbols_that_all_files_define(spark, shop):
+    """Homes times uses times definitions would be 240 million rows here; the rows are those of the plain definition."""
+    files, symbols, asked = 2000, 40, ("s0", "S1", "nowhere")
+    every = spark.range(files).crossJoin(spark.range(symbols).toDF("k"))
+    path, name = F.concat(F.lit("/f"), F.col("id").cast("string")), F.concat(F.lit("s"), F.col("k").cast("string"))
+    defined = every.where("k <> 7").select(name.alias("symbol"), path.alias("path"), F.lit("def").alias("kind"), (F.col("k") % 2).cast("int").alias("line"), F.lit("").alias("signature"), F.lit("").alias("docstring"), F.lit("").alias("parent"))
+    g = {**shop, "defined_in": defined, "imports": every.where("k in (0, 2, 7)").select(path.alias("path"), name.alias("symbol"), F.lit("m").alias("module"), F.lit(1).alias("line"))}
+    g["references"] = every.where("k in (0, 1, 4)").select(path.alias("path"), name.alias("symbol"), F.lit(1).alias("line"), F.lit("call").alias("kind"))
+    began = time.time()
+    found = sorted(tuple(r) for r in graph.impact_downstream(g, ask(spark, *asked)).collect())
+    want = []
+    for query, own in (("s0", 0), ("S1", 1)):
+        for rel, used in (("IMPORTS", {0, 2, 7} - {own}), ("REFERENCES", {0, 1, 4} - {own})):
+            lines = {k % 2 for k in used - {7}}
+            want += [(query, rel, f"/f{i}", line) for i in range(files) for line in lines] + [(query, rel, "unknown", 1)] * (7 in used)
+    assert found == sorted(want)
+    assert time.time() - began < 60
+
+
 def test_scip(spark, tmp_path):
     def field(n, v):
         def number(x):
