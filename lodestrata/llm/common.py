@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import components, scratch  # noqa: F401  used by the operators
+from ..shared import components, discard, scratch, setting  # noqa: F401  used by the operators
 from ..shared import written as materialize  # noqa: F401
 
 
@@ -24,16 +25,24 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
 @contextmanager
 def records_a_batch(spark: SparkSession, records: int) -> Iterator[None]:
     """So many rows an Arrow batch for what runs inside, then as before."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(records))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(records)):
         yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when a task is over its worker, which waits for others, gives freed memory back to the system."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return whole
 
 
 def small_batches(spark: SparkSession, records: int = 1000) -> None:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 PER_LANGUAGE = 3000
 BUCKETS = 1 << 16
 LONGEST = 3
 UNKNOWN = "und"
 #: Characters scored at a time.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 _LETTER: list[np.ndarray] = []
 
@@ -121,7 +121,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, buckets: int = BUCKET
     # By id and text, so that rows with null or equal ids are drawn one by one; equal rows are one example, drawn together.
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_counts(buckets, longest), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(tidy(_counts(buckets, longest)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     matrix = np.ones((len(names), buckets))
     np.add.at(matrix, (counts["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(dtype=int), counts["bucket"].to_numpy()), counts["n"].to_numpy())
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, longest: int
     own = [f"keep{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(o) for c, o in zip(keep, own)], F.col(text).cast("string").alias("text"))
     schema = ", ".join([f"{o} {rows.schema[o].dataType.simpleString()}" for o in own] + ["lang_pred string", "score double", "gain double"])
-    found = rows.mapInArrow(_score(model, longest), schema)
+    found = rows.mapInArrow(tidy(_score(model, longest)), schema)
     return found.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "lang_pred", "score", "gain")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, small_batches
+from .common import bounded, materialize, small_batches, tidy
 from .tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -279,7 +279,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = _pieces(tokenizer or default_tokenizer(), end_id, capacity)
+    run = tidy(_pieces(tokenizer or default_tokenizer(), end_id, capacity))
     return materialize(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, task long, number long"), "pieces")
 
 

@@ -40,7 +40,7 @@ class CachedEncoder:
     At most ``entries`` strings of at most ``LONGEST`` characters are remembered, whichever way a text takes.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

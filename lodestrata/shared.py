@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +32,40 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting for what runs inside, then as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, survives lost executors, has a known size."""
+    """``df`` as a written table: cuts the lineage, survives lost executors, has a known size.
+
+    What the write shuffled is deleted when it is done, and not some time after the driver's next garbage collection.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -51,6 +81,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, tag)
+        discard(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a")
         small = (
@@ -59,6 +90,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             .distinct()
         )
         small = written(small, tag)
+        discard(large)
         # A forest of stars: no node is both a child and a parent, and each child has one parent.
         split = small.groupBy("a").count().where("count > 1").limit(1).count()
         chained = small.join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
