@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, sets
-from .common import components, in_sketch, materialize, sketch, small_batches, unused
+from .common import components, discard, in_sketch, materialize, may_hold, sketch, small_batches, tidy, unused
 
 #: Counters of the sketch and the rows they are sent in; 4 MB whatever the input.
 COUNTERS, BLOCKS = 1 << 20, 64
@@ -73,7 +73,7 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents' shingles fall on each of COUNTERS counters."""
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_count(size), "block int, counts binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_count(size)), "block int, counts binary")
     summed = parts.repartition(BLOCKS, "block").mapInPandas(_add, "block int, counts binary")
     total = np.zeros(COUNTERS, dtype=np.uint32)
     for row in summed.collect():  # BLOCKS rows, 4 MB
@@ -118,6 +118,22 @@ def _prefixes(size: int, percent: int, counts):
     return run
 
 
+def _places(bits):
+    schema = pa.schema([("shingle", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("members", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(3)
+            shingle = prefix.flatten().to_numpy()
+            size = prefix.value_lengths().to_numpy()
+            of, at = np.repeat(np.arange(len(size)), size), np.arange(len(shingle)) - np.repeat(np.cumsum(size) - size, size)
+            kept = np.flatnonzero(may_hold(bits.value, shingle))
+            of = pa.array(of[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[kept]), batch.column(0).take(of), batch.column(1).take(of), pa.array(at[kept].astype(np.int32)), batch.column(2).take(of)], schema=schema)
+
+    return run
+
+
 def size_class(n: int, percent: int) -> int:
     """Sizes of one class are at most 100 / percent apart, so that a partner's class is the same or a neighbour."""
     return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9)) if percent < 100 else n
@@ -150,11 +166,14 @@ def _whole_sets(size: int):
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             cols = {k: batch.column(k).to_pylist() for k in ("node", "f1", "f2")}
             node, found = [], []
             for i, own in sets(batch.column("text"), size):
-                if fingerprint(own) == (cols["f1"][i], cols["f2"][i]):  # an id may have several texts
+                # An id may have several texts, and rows with equal id and text are often in one task.
+                if cols["node"][i] not in seen and fingerprint(own) == (cols["f1"][i], cols["f2"][i]):
+                    seen.add(cols["node"][i])
                     node.append(cols["node"][i])
                     found.append(_as_long(own))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
@@ -170,17 +189,28 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
     schema = "doc_id long, t long, n int, f1 long, f2 long, sign array<long>, prefix array<long>"
-    rows = materialize(docs.mapInArrow(_prefixes(size, percent, counts), schema), "prefixes")
+    rows = materialize(docs.mapInArrow(tidy(_prefixes(size, percent, counts)), schema), "prefixes")
     key = ["n", "f1", "f2"]
     nodes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = materialize(nodes.groupBy("n", "prefix").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")), "groups")
+    whole = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes-with-prefixes")
+    groups = materialize(whole.groupBy("n", "prefix").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")), "groups")
     many = groups.where("members > 1").select("n", "prefix", "hub")
-    members = materialize(nodes.join(many, ["n", "prefix"]).select("hub", "node"), "members")
-
-    lists = groups.select("hub", "n", "members", F.posexplode("prefix").alias("at", "shingle"))
-    first = lists.groupBy("shingle").agg(F.min(F.struct("at", "n", "hub")).alias("first"), F.sum("members").alias("total")).where("total > 1").select("shingle", "first")
-    lists = materialize(lists.join(first, "shingle").select("shingle", "hub", "n", "at", "members", "first"), "lists")
+    members = materialize(whole.join(many, ["n", "prefix"]).select("hub", "node"), "members")
+    # The prefixes, most of what is written so far, are in ``groups``; what is read to the end is written without them.
+    nodes = materialize(whole.drop("prefix"), "nodes")
+    own_rows = materialize(rows.select("doc_id", "t", *key), "rows")
+    discard(whole, rows)
+
+    # Most shingles are one set's alone: they are counted in rows of their own, and places are written for the others only.
+    shared = groups.select("members", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sum("members").alias("total")).where("total > 1").select("shingle")
+    shared = materialize(shared, "shared-shingles")
+    bits = spark.sparkContext.broadcast(sketch(shared))
+    places = groups.select("hub", "n", "members", "prefix").mapInArrow(tidy(_places(bits)), "shingle long, hub long, n int, at int, members long")
+    places = materialize(places, "places")
+    discard(groups, shared)
+    first = places.groupBy("shingle").agg(F.min(F.struct("at", "n", "hub")).alias("first"), F.sum("members").alias("total")).where("total > 1").select("shingle", "first")
+    lists = materialize(places.join(first, "shingle").select("shingle", "hub", "n", "at", "members", "first"), "lists")
+    discard(places)
     fits = "100 * least({a}.n, {b}.n) >= {p} * greatest({a}.n, {b}.n) and (100 + {p}) * least({a}.n - {a}.at, {b}.n - {b}.at) >= {p} * ({a}.n + {b}.n)"
     star = lists.where("hub <> first.hub").where(fits.format(a="lists", b="first", p=percent).replace("lists.", "")).select(F.col("first.hub").alias("a"), F.col("hub").alias("b"))
     star = star.unionByName(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
@@ -200,19 +230,22 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     rest = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where("x.id < y.id and x.component <> y.component").where(fits.format(a="x", b="y", p=percent)).where(_near("x", "y", percent))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     long = materialize(left.where(F.col("size") > SHORT).select(F.col("id").alias("node"), "component").distinct(), "long-lists")
-    parts = _sets(docs, nodes, long.select("node"), size).mapInArrow(_parts(percent), "node long, part long")
-    parts = materialize(parts.join(long, "node").join(signs, "node"), "parts")
+    whole = _sets(docs, nodes, long.select("node"), size)
+    split = whole.mapInArrow(tidy(_parts(percent)), "node long, part long")
+    parts = materialize(split.join(long, "node").join(signs, "node"), "parts")
     x, y = parts.alias("x"), parts.alias("y")
     far = x.join(y, F.col("x.part") == F.col("y.part")).where("x.node < y.node and x.component <> y.component")
     far = far.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").where(_near("x", "y", percent))
     rest = rest.unionByName(far.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(docs, nodes, materialize(rest, "rest"), size, percent))
+    rest = materialize(rest, "rest")
+    discard(whole, parts, long, left, lists, members, star)
+    links = links.unionByName(_verified(docs, nodes, rest, size, percent))
 
     label = materialize(components(links).withColumnRenamed("id", "node"), "labels")
     named = nodes.select("node", "least", *key).join(label, "node", "left")
     smallest = materialize(named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = named.join(smallest, "component", "left")
-    return rows.select("doc_id", "t", *key), named.select(*key, F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
+    return own_rows, named.select(*key, F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -258,11 +291,13 @@ def _near(a: str, b: str, percent: int) -> str:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes; a table."""
+    """(node, shingles) of the wanted nodes; a table.  Rows with equal id and text that no task sees together may give a node again."""
     wanted = materialize(nodes.join(wanted, "node").select("node", F.col("least").alias("id"), "f1", "f2"), "wanted-sets")
     held = in_sketch(docs.sparkSession, sketch(wanted.select(F.xxhash64("id"))))(F.xxhash64("doc_id"))
     texts = docs.where(held).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "f1", "f2", "text")
-    return materialize(texts.mapInArrow(_whole_sets(size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    found = materialize(texts.mapInArrow(tidy(_whole_sets(size)), "node long, shingles array<long>"), "sets")
+    discard(wanted)
+    return found
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -272,7 +307,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
     a, b = whole.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), whole.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     ok = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    return materialize(ok.select("a", "b"), "links")
+    found = materialize(ok.select("a", "b").distinct(), "links")
+    discard(whole)
+    return found
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
