@@ -249,8 +249,8 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_all(text.as_py() for text in batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 start, n = 0, total % capacity or min(total, capacity)
                 for piece in range(-(-total // capacity)):

@@ -19,6 +19,7 @@ PIECES = ["a", "'s", "'", " ", "  ", "\n", " \n", "\t", "é", "ß", "1", "23", "
 
 
 PLAIN = Tokenizer.from_file(default_tokenizer())
+CODERS = {}
 
 
 def library(text):
@@ -52,6 +53,23 @@ def test_what_is_remembered_is_bounded():
         assert len(coder.known) <= 50 and max(map(len, coder.known)) <= 64
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([*PIECES, "'re", "'ll", "'d", "l", "ſ", "—", "of", "seventeen-letter", "unfoldednesses"]), max_size=12), max_size=6), st.sampled_from([1, 7, 4096]))
+def test_ids_of_many_texts_are_the_library_s(texts, slots):
+    texts = [None if parts is None else "".join(parts) for parts in texts]
+    coder = CODERS.setdefault(slots, CachedEncoder(default_tokenizer(), slots=slots))
+    assert list(coder.encode_all(texts)) == [library(t) if t else b"" for t in texts]
+
+
+def test_rare_words_are_not_asked_one_by_one(monkeypatch):
+    coder, asked = CachedEncoder(default_tokenizer(), entries=50, slots=64), []
+    run = CachedEncoder._run
+    monkeypatch.setattr(CachedEncoder, "_run", lambda self, piece: asked.append(piece) or run(self, piece))
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{'y' * (i % 3)}" for i in range(low, low + 300)) for low in (0, 150, 0)] + ["z" * 40]
+    assert list(coder.encode_all(texts)) == [library(t) for t in texts]
+    assert asked == ["z" * 40] and len(coder.table.low) == 64
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30), st.integers(1, 8))
 def test_plan_places_every_piece_once(histogram, groups):
