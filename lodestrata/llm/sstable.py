@@ -204,8 +204,8 @@ def _writer(folder: str, block_bytes: int, tokenizer: str, end_id: int):
         with store.open_output_stream(f"{root}/{name}") as out:
             shard = ShardWriter(out, block_bytes)
             for batch in itertools.chain([head], batches):
-                for high, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    shard.add(key_of(high), coder.encode(text.as_py()) + end)
+                for high, ids in zip(batch.column("doc_id").to_pylist(), coder.encode_all(text.as_py() for text in batch.column("text"))):
+                    shard.add(key_of(high), ids + end)
             shard.close()
         row = [TaskContext.get().partitionId(), name, shard.docs, shard.ids, low, high]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, MANIFEST.types)], schema=MANIFEST)
