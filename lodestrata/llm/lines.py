@@ -14,7 +14,7 @@ place) stays.
    of their byte counts are verified by a banded bit-parallel edit distance, and give components.
 4. Lists that still hold several components are completed across components.  t edits change the counts of at most 2 t byte
    values, so that of 2 t + 1 groups of byte values one is counted alike in both lines: only members of a list that share such a
-   group's counts are compared, and only pairs that are near as characters leave the join.  A list of m lines, alike or not, so costs about m comparisons, not the square, and no link that
+   group's counts are compared, and only pairs that are near as characters leave the join; that is asked of those alone whose pairs of neighbouring bytes allow it.  A list of m lines, alike or not, so costs about m comparisons, not the square, and no link that
    joins components is lost.
 
 Texts are read again for few lines only: those whose hash passes a sketch of fixed size (common.sketch).
@@ -44,6 +44,9 @@ _CLASS = np.random.default_rng(5501).integers(0, 2 * LANES, 256)
 _UNITS = [np.where(_CLASS // LANES == half, U(1) << (U(8) * (_CLASS % LANES).astype(np.uint64)), U(0)) for half in range(2)]
 _MASK = U((1 << 8 * LANES) - 1)
 _BIAS = sum(128 << 8 * k for k in range(LANES))
+#: Pairs of neighbouring bytes fall into 256 classes; a line has a bit for each: whether it has an odd number of them.
+_PAIRS = np.random.default_rng(40127).integers(0, 256, 1 << 16).astype(np.uint8)
+ODD = ("o1", "o2", "o3", "o4")
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +152,15 @@ def _keys(max_edits: int, per_edit: int, min_bytes: int):
     return run
 
 
+def _odd(line: np.ndarray) -> np.ndarray:
+    """Of each class of pairs of neighbouring bytes, whether the line has an odd number of them."""
+    pairs = _PAIRS[(line[:-1].astype(np.uint16) << 8) | line[1:]]
+    return (np.bincount(pairs, minlength=256) & 1).astype(bool)
+
+
 def _texts(min_bytes: int, groups: int, wanted):
-    """(h1, h2, line, parts) of the lines that may be wanted; parts: a hash for each group of byte values of how often each stands in the line."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary()), ("parts", pa.list_(pa.int64()))])
+    """(h1, h2, line, parts, ODD) of the lines that may be wanted; parts: a hash for each group of byte values of how often each stands in the line."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary()), ("parts", pa.list_(pa.int64())), *((c, pa.int64()) for c in ODD)])
     group = np.random.default_rng(9029).permutation(256) % groups
     weight = np.zeros((256, groups), dtype=np.uint64)
     weight[np.arange(256), group] = mix(np.arange(1, 257, dtype=np.uint64))
@@ -174,9 +183,11 @@ def _texts(min_bytes: int, groups: int, wanted):
                 lines = [data[a:b] for a, b in zip(starts, ends)]
                 parts = np.array([np.bincount(x, minlength=256).astype(np.uint64) for x in lines]) @ weight
                 parts = mix(parts + mix(np.arange(1, groups + 1, dtype=np.uint64))).view(np.int64)
+                odd = np.packbits(np.array([_odd(x) for x in lines]), axis=1).view(np.int64)
                 cuts = pa.array(np.arange(0, groups * len(h) + 1, groups).astype(np.int32))
                 arrays = [pa.array(h.view(np.int64)), pa.array(second.of(starts, ends).view(np.int64)), pa.array([x.tobytes() for x in lines], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(cuts, pa.array(parts.ravel()))], schema=schema)
+                arrays += [pa.ListArray.from_arrays(cuts, pa.array(parts.ravel())), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(ODD)))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
@@ -217,6 +228,11 @@ def _close(a: str, b: str, max_edits: int) -> str:
     return f"abs({a}.n - {b}.n) <= {max_edits} and ({' + '.join(digits)}) <= {2 * max_edits}"
 
 
+def _paired(a: str, b: str, max_edits: int) -> str:
+    """SQL for a bound: an edit replaces two pairs of neighbouring bytes by two others at most."""
+    return f"{' + '.join(f'bit_count({a}.{c} ^ {b}.{c})' for c in ODD)} <= {4 * max_edits}"
+
+
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER_EDIT, min_bytes: int = MIN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) -> doc_id, text without the lines that are alike an earlier one, n_lines (before), removed (places), and the columns ``keep``.
 
@@ -244,8 +260,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     lists = lists.join(found.select("line", "node", "n", "c1", "c2"), "line").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
     lists = materialize(lists, "line-lists")
     wanted = spark.sparkContext.broadcast(sketch(found.select("h1")))
-    texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, line binary, parts array<long>")
-    texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "line", "parts"), "line-texts")
+    texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, line binary, parts array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "line", "parts", *ODD), "line-texts")
 
     hubs = lists.groupBy("key").agg(F.min(F.struct("node", "n", "c1", "c2")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = lists.alias("x").join(hubs.select("key", "hub.*").alias("y"), "key").where("x.node <> y.node").where(_close("x", "y", max_edits))
@@ -256,9 +272,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     own = lists.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
     own = own.join(mixed.select("key"), "key").join(texts.withColumn("line", F.col("line").cast("string")), "node")
-    own = own.select("key", "node", "n", "c1", "c2", "index", "component", "line", F.posexplode("parts").alias("group", "counts"))
+    own = own.select("key", "node", "n", "c1", "c2", "index", "component", "line", *ODD, F.posexplode("parts").alias("group", "counts"))
     own = materialize(own.withColumn("key", F.xxhash64("key", "group", "counts")), "line-mixed")
-    rest = own.alias("x").join(own.alias("y"), "key").where("x.node < y.node and x.component <> y.component and (x.index = 1 or y.index = 1)").where(_close("x", "y", max_edits))
+    rest = own.alias("x").join(own.alias("y"), "key").where("x.node < y.node and x.component <> y.component and (x.index = 1 or y.index = 1)").where(_close("x", "y", max_edits)).where(_paired("x", "y", max_edits))
     # An edit of a byte edits one character at most: pairs that are too far apart as characters never leave the join.
     rest = rest.where(F.levenshtein("x.line", "y.line", max_edits) >= 0)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -21,6 +22,22 @@ def test_bounded_distance(a, changes, k):
     assert within(a, bytes(b), k) == (_table(a, bytes(b)) <= k)
 
 
+def test_pairs_of_bytes_bound_the_edits():
+    """A pair of lines with few edits is never held back; one with several edits far apart seldom reaches the edit distance."""
+    rng, held = random.Random(9), 0
+    for trial in range(400):
+        line = bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(20, 400)))
+        edits, other = trial % 7, bytearray(line)
+        for _ in range(edits):
+            at, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[at : at + 1] = b"" if kind == 0 else bytes([rng.choice(b"xyz")]) if kind == 1 else bytes([other[at]]) + b"q"
+        odd = [lines._odd(np.frombuffer(bytes(x), dtype=np.uint8)) for x in (line, other)]
+        apart = int((odd[0] ^ odd[1]).sum())
+        assert apart <= 4 * edits
+        held += edits == 6 and apart > 8
+    assert held >= 50  # of 57
+
+
 def brute(rows):
     lines = [(d, i, s.encode()) for d, t in rows for i, s in enumerate((t or "").split("\n") if t else [])]
     lines = [(d, i, s) for d, i, s in lines if s.strip(b" \t\n\v\f\r")]
