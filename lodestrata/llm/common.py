@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..shared import components, discard, scratch, setting  # noqa: F401  used by the operators
 from ..shared import written as materialize  # noqa: F401
+from .tokens import forget
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -29,10 +30,15 @@ def records_a_batch(spark: SparkSession, records: int) -> Iterator[None]:
         yield
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow; when a task is over its worker, which waits for others, gives freed memory back to the system."""
+def tidy(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when a task is over its worker, which waits for others, gives freed memory back to the system.
+
+    Encoders that earlier tasks have left in the worker go before it begins, unless it ``encodes`` itself.
+    """
 
     def whole(batches: Iterator) -> Iterator:
+        if not encodes:
+            forget()
         try:
             yield from run(batches)
         finally:
@@ -104,7 +110,11 @@ def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def in_sketch(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
-    """A column function: whether a 64-bit hash may be among those of ``bits``.  Only the hashes go to Python."""
+    """A column function: whether a 64-bit hash may be among those of ``bits``.  Only the hashes go to Python.
+
+    If the rows that pass go through mapInArrow later, a shuffle has to lie between (a join with a table that is hinted ``merge``):
+    in one stage each task would need two Python workers, and all of them stay.
+    """
     sent = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")

@@ -294,7 +294,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> Da
     """(node, shingles) of the wanted nodes; a table.  Rows with equal id and text that no task sees together may give a node again."""
     wanted = materialize(nodes.join(wanted, "node").select("node", F.col("least").alias("id"), "f1", "f2"), "wanted-sets")
     held = in_sketch(docs.sparkSession, sketch(wanted.select(F.xxhash64("id"))))(F.xxhash64("doc_id"))
-    texts = docs.where(held).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "f1", "f2", "text")
+    texts = docs.where(held).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "f1", "f2", "text")
     found = materialize(texts.mapInArrow(tidy(_whole_sets(size)), "node long, shingles array<long>"), "sets")
     discard(wanted)
     return found

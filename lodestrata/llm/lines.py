@@ -291,7 +291,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     gone = materialize(gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone")), "line-gone")
 
     touched = in_sketch(spark, sketch(gone.select("t")))(F.col("t"))
-    done = whole.where(touched).alias("d").join(gone.alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", f"d.{kept_too}")
+    done = whole.where(touched).alias("d").join(gone.hint("merge").alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", f"d.{kept_too}")
     done = done.mapInArrow(_rebuild, f"id long, text string, n_lines long, removed array<int>, {kept_too} {whole.schema[kept_too].dataType.simpleString()}")
     n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0).cast("long")
     same = whole.where(~touched).select("id", "text", F.coalesce(n_lines, F.lit(0).cast("long")).alias("n_lines"), F.array().cast("array<int>").alias("removed"), kept_too)

@@ -279,7 +279,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = tidy(_pieces(tokenizer or default_tokenizer(), end_id, capacity))
+    run = tidy(_pieces(tokenizer or default_tokenizer(), end_id, capacity), encodes=True)
     return materialize(rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, task long, number long"), "pieces")
 
 
@@ -287,13 +287,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 128) -> Dat
     """Adds sequence_id and offset to pieces that have length, task and number (see cut_documents).
 
     A length that a third of all pieces have is no hot key: ranks come from sums by (length, task), and the
-    runs, whose number depends on capacity and groups alone, are broadcast once counted.
+    runs, whose number depends on capacity and groups alone, are broadcast once counted.  They go to Spark in Arrow format:
+    rows of Python would be unpacked by Python workers of their own kind, which stay beside the others.
     """
     spark = pieces.sparkSession
     counts = materialize(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs = plan(histogram, capacity, groups)
-    table = spark.createDataFrame(runs, "length long, first long, count long, sequence long, offset long")
+    names = ("length", "first", "count", "sequence", "offset")
+    table = spark.createDataFrame(pa.table({name: pa.array([run[k] for run in runs], pa.int64()) for k, name in enumerate(names)}))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("number"))

@@ -278,6 +278,11 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """A worker that goes on to other work doesn't need its encoders any more."""
+    _ENCODERS.clear()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -1,12 +1,14 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import queries
-from lodestrata.llm.common import materialize
+from lodestrata.llm import jaccard, packing, queries
+from lodestrata.llm import lines as lines_module
+from lodestrata.llm.common import materialize, tidy
 from lodestrata.llm.tokens import default_tokenizer, encoder
 
 
@@ -113,3 +115,43 @@ def test_near_duplicates_against_five_words_and_four_fifths(spark, data):
     got = {r["doc_id"] for r in P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
     assert got == {d for d, m in least.items() if d == m}
     assert 6 <= len(got) < 36
+
+
+def _nodes(plan: str) -> list[tuple[int, str]]:
+    """(depth, name) of the nodes of a plan that isn't final yet."""
+    found = [re.match(r"([ :+|-]*)(?:\*\(\d+\) )?(\w+)", line) for line in plan.splitlines()]
+    return [(len(m[1]), m[2]) for m in found if m]
+
+
+def test_a_task_has_one_python_worker(spark, data, monkeypatch):
+    """No stage of a table that is written, or of a result, has two Python nodes one above the other, and no rows come from Python workers of RDDs."""
+    plans = []
+
+    def noted(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, tag)
+
+    for module in (jaccard, lines_module, packing):
+        monkeypatch.setattr(module, "materialize", noted)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name in ("line_dedup", "near_duplicates", "packing"):
+        noted(dict(P.STAGES)[name](spark, docs, data), f"test-{name}")
+    evaluated = 0
+    for tag, plan in plans:
+        assert "Scan ExistingRDD" not in plan, tag
+        above: list[tuple[int, str]] = []
+        for depth, name in _nodes(plan):
+            above = [x for x in above if x[0] < depth]
+            if re.search("Python|MapIn", name):
+                evaluated += name == "ArrowEvalPython"
+                stage = [n for _, n in above]
+                cut = max((i for i, n in enumerate(stage) if "Exchange" in n), default=-1)
+                assert not [n for n in stage[cut + 1 :] if re.search("Python|MapIn", n)], (tag, plan)
+            above.append((depth, name))
+    assert {"sets", "test-line_dedup", "test-packing"} <= {tag for tag, _ in plans} and evaluated >= 3
+
+
+def test_other_work_forgets_encoders():
+    first = encoder(default_tokenizer())
+    assert list(tidy(iter, encodes=True)([1, 2])) == [1, 2] and encoder(default_tokenizer()) is first
+    assert list(tidy(iter)([1, 2])) == [1, 2] and encoder(default_tokenizer()) is not first
