@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import components, discard, scratch, setting  # noqa: F401  used by the operators
+from ..shared import components, discard, gathered, scratch, setting  # noqa: F401  used by the operators
 from ..shared import written as materialize  # noqa: F401
 from .tokens import forget
 
@@ -98,7 +98,7 @@ def sketch(hashes: DataFrame) -> np.ndarray:
     """
     parts = hashes.mapInArrow(_mark, "block int, bits binary").repartition(SKETCH_BLOCKS, "block").mapInPandas(_either, "block int, bits binary")
     total = np.zeros(SKETCH_BITS // 8, dtype=np.uint8)
-    for row in parts.collect():  # SKETCH_BLOCKS rows
+    for row in gathered(parts):  # SKETCH_BLOCKS rows
         step = SKETCH_BITS // 8 // SKETCH_BLOCKS
         total[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(zlib.decompress(bytes(row["bits"])), dtype=np.uint8)
     return total

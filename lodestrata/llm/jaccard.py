@@ -4,7 +4,7 @@
 2. Shingles are ordered from rare to frequent by a counting sketch over all documents (a table of fixed
    size; any one order gives the same links, a good one gives short lists).  Two sets whose similarity
    reaches the threshold share one of the first ``n - ceil(t n) + 1`` shingles of each: their prefixes.
-3. Nodes with one size and one prefix are a group; groups that share a prefix shingle are candidates,
+3. Nodes with one size and one prefix (by a 128-bit fingerprint) are a group; groups that share a prefix shingle are candidates,
    filtered by size and by the places of the shingle in both.
 4. In each list of groups the one with the earliest place is the hub; hub and other are verified, and a group's
    first member with its others.  The links give components.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import U, mix, sets
-from .common import components, discard, in_sketch, materialize, may_hold, sketch, small_batches, tidy, unused
+from .common import components, discard, gathered, in_sketch, materialize, may_hold, sketch, small_batches, tidy, unused
 
 #: Counters of the sketch and the rows they are sent in; 4 MB whatever the input.
 COUNTERS, BLOCKS = 1 << 20, 64
@@ -76,7 +76,7 @@ def shingle_counts(docs: DataFrame, size: int) -> np.ndarray:
     parts = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_count(size)), "block int, counts binary")
     summed = parts.repartition(BLOCKS, "block").mapInPandas(_add, "block int, counts binary")
     total = np.zeros(COUNTERS, dtype=np.uint32)
-    for row in summed.collect():  # BLOCKS rows, 4 MB
+    for row in gathered(summed):  # BLOCKS rows, 4 MB
         step = COUNTERS // BLOCKS
         total[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint32)
     return total
@@ -97,12 +97,12 @@ def parities(own: np.ndarray) -> np.ndarray:
 
 def _prefixes(size: int, percent: int, counts):
     fields = [("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64())]
-    schema = pa.schema([*fields, ("sign", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([*fields, ("p1", pa.int64()), ("p2", pa.int64()), ("sign", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for batch in batches:
-            n, f1, f2, sign, prefix = [], [], [], [], []
+            n, f1, f2, p1, p2, sign, prefix = [], [], [], [], [], [], []
             for _, own in sets(batch.column(2), size):
                 keep = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
                 rank = np.lexsort((own, order[(own % U(COUNTERS)).astype(np.int64)]))
@@ -111,18 +111,25 @@ def _prefixes(size: int, percent: int, counts):
                 f1.append(a)
                 f2.append(b)
                 sign.append(parities(own))
-                prefix.append(_as_long(own[rank[:keep]]))
-            arrays = [pa.array(v, f.type) for v, f in zip((n, f1, f2, sign, prefix), list(schema)[2:])]
+                first = own[rank[:keep]]
+                a, b = fingerprint(first)
+                p1.append(a)
+                p2.append(b)
+                prefix.append(_as_long(first))
+            arrays = [pa.array(v, f.type) for v, f in zip((n, f1, f2, p1, p2, sign, prefix), list(schema)[2:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], schema=schema)
 
     return run
 
 
-def _places(bits):
+def _places(bits, but=None):
+    """The places of shingles that ``bits`` may hold; with ``but``, of rows only whose hash, a fifth column, it doesn't hold."""
     schema = pa.schema([("shingle", pa.int64()), ("hub", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("members", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if but is not None:
+                batch = batch.filter(pa.array(~may_hold(but.value, batch.column(4).to_numpy())))
             prefix = batch.column(3)
             shingle = prefix.flatten().to_numpy()
             size = prefix.value_lengths().to_numpy()
@@ -188,26 +195,34 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs, size))
-    schema = "doc_id long, t long, n int, f1 long, f2 long, sign array<long>, prefix array<long>"
-    rows = materialize(docs.mapInArrow(tidy(_prefixes(size, percent, counts)), schema), "prefixes")
+    schema = "doc_id long, t long, n int, f1 long, f2 long, p1 long, p2 long, sign array<long>, prefix array<long>"
+    rows = materialize(docs.mapInArrow(tidy(_prefixes(size, percent, counts)), schema).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    # Prefixes are most of what is written: they stay in this one table.  A set is named by one of its rows, a group by one of its sets.
     key = ["n", "f1", "f2"]
-    nodes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
-    whole = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes-with-prefixes")
-    groups = materialize(whole.groupBy("n", "prefix").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")), "groups")
-    many = groups.where("members > 1").select("n", "prefix", "hub")
-    members = materialize(whole.join(many, ["n", "prefix"]).select("hub", "node"), "members")
-    # The prefixes, most of what is written so far, are in ``groups``; what is read to the end is written without them.
-    nodes = materialize(whole.drop("prefix"), "nodes")
     own_rows = materialize(rows.select("doc_id", "t", *key), "rows")
-    discard(whole, rows)
+    some = rows.where("n > 0")
+    nodes = some.groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("p1", "p2", "sign")])
+    nodes = materialize(nodes, "nodes")
+    groups = materialize(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")), "groups")
+    many = groups.where("members > 1").select("n", "p1", "p2", "hub")
+    members = materialize(nodes.join(many, ["n", "p1", "p2"]).select("hub", "node"), "members")
+    # Most rows are the only one of their group; others, and what the sketch takes for them, are looked up.
+    alone = groups.where("members = 1").select(F.col("hub").alias("row"))
+    but = sketch(some.select("row").join(alone, "row", "left_anti").select(F.xxhash64("row")))
+    other = in_sketch(spark, but)(F.xxhash64("row"))
+    hubs = some.where(other).join(groups.select(F.col("hub").alias("row"), "members").hint("merge"), "row")
+    hubs = materialize(hubs.select(F.col("row").alias("hub"), "n", "members", "prefix"), "hubs")
+    discard(groups)
 
     # Most shingles are one set's alone: they are counted in rows of their own, and places are written for the others only.
-    shared = groups.select("members", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sum("members").alias("total")).where("total > 1").select("shingle")
+    each = some.where(~other).select(F.lit(1).cast("long").alias("members"), "prefix").unionByName(hubs.select("members", "prefix"))
+    shared = each.select("members", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.sum("members").alias("total")).where("total > 1").select("shingle")
     shared = materialize(shared, "shared-shingles")
-    bits = spark.sparkContext.broadcast(sketch(shared))
-    places = groups.select("hub", "n", "members", "prefix").mapInArrow(tidy(_places(bits)), "shingle long, hub long, n int, at int, members long")
-    places = materialize(places, "places")
-    discard(groups, shared)
+    bits, but = spark.sparkContext.broadcast(sketch(shared)), spark.sparkContext.broadcast(but)
+    schema = "shingle long, hub long, n int, at int, members long"
+    places = some.select("row", "n", F.lit(1).cast("long"), "prefix", F.xxhash64("row")).mapInArrow(tidy(_places(bits, but)), schema)
+    places = materialize(places.unionByName(hubs.mapInArrow(tidy(_places(bits)), schema)), "places")
+    discard(rows, hubs, shared)
     first = places.groupBy("shingle").agg(F.min(F.struct("at", "n", "hub")).alias("first"), F.sum("members").alias("total")).where("total > 1").select("shingle", "first")
     lists = materialize(places.join(first, "shingle").select("shingle", "hub", "n", "at", "members", "first"), "lists")
     discard(places)
@@ -218,9 +233,9 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     signs = nodes.select("node", "n", "sign")
     x, y = signs.toDF("a", "n", "sign").alias("x"), signs.toDF("b", "n", "sign").alias("y")
     star = materialize(star.join(x, "a").join(y, "b").where(_near("x", "y", percent)).select("a", "b"), "star")
-    links = _verified(docs, nodes, star, size, percent)
+    linked = _verified(docs, nodes, star, size, percent)
 
-    label = components(links)
+    label = components(linked)
     own = lists.select("shingle", "hub", "n", "at").join(members, "hub", "left").select("shingle", F.coalesce("node", "hub").alias("id"), "n", "at")
     own = own.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
@@ -239,13 +254,14 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     rest = rest.unionByName(far.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).distinct().join(star, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     discard(whole, parts, long, left, lists, members, star)
-    links = links.unionByName(_verified(docs, nodes, rest, size, percent))
-
-    label = materialize(components(links).withColumnRenamed("id", "node"), "labels")
+    more = _verified(docs, nodes, rest, size, percent)
+    label = materialize(components(linked.unionByName(more)).withColumnRenamed("id", "node"), "labels")
     named = nodes.select("node", "least", *key).join(label, "node", "left")
     smallest = materialize(named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = named.join(smallest, "component", "left")
-    return own_rows, named.select(*key, F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "least").alias("component_id"))
+    named = materialize(named.select(*key, F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "least").alias("component_id")), "classes")
+    discard(rest, linked, more, nodes, label, smallest)
+    return own_rows, named
 
 
 def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -272,13 +288,15 @@ def keep_first(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     rows, named = _classes(docs, size, percent)
     found = rows.where("n > 0").join(named, ["n", "f1", "f2"]).groupBy("class", "doc_id", "t").agg(F.count(F.lit(1)).alias("times"))
     found = materialize(found, "class-rows")
+    discard(rows, named)
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t")
     first = materialize(found.groupBy("class").agg(F.min(order).alias("first"), F.sum("times").alias("total")).where("total > 1").select("class", "first"), "class-first")
-    found = materialize(found.join(first, "class").select("doc_id", "t", "times", order.eqNullSafe(F.col("first")).alias("stays")), "copies")
+    copies = materialize(found.join(first, "class").select("doc_id", "t", "times", order.eqNullSafe(F.col("first")).alias("stays")), "copies")
+    discard(found, first)
     kept, text = unused("kept", docs), F.col("text").cast("string")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text.isNull(), text).alias("t"), F.struct(*docs.columns).alias(kept))
-    touched = in_sketch(spark, sketch(found.select("t")))(F.col("t"))
-    joined = whole.where(touched).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.t = f.t"), "left")
+    touched = in_sketch(spark, sketch(copies.select("t")))(F.col("t"))
+    joined = whole.where(touched).alias("d").join(copies.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.t = f.t"), "left")
     once = joined.where("f.t is null or (f.stays and f.times = 1)").select(f"d.{kept}")
     again = joined.where("f.stays and f.times > 1").select("d.doc_id", "d.t", f"d.{kept}").dropDuplicates(["doc_id", "t"]).select(kept)
     return whole.where(~touched).select(kept).unionByName(once).unionByName(again).select(f"{kept}.*")

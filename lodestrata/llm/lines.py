@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, U, _powers, chunks, mix
-from .common import Seen, components, in_sketch, materialize, may_hold, sketch, small_batches, unused
+from .common import Seen, components, discard, in_sketch, materialize, may_hold, sketch, small_batches, unused
 from .edits import within
 
 MAX_EDITS, PER_EDIT, MIN_BYTES = 2, 20, 20
@@ -257,8 +257,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     lists = materialize(lists.where("low < high and indexed = 1").select("key", line.alias("line"), F.col("line").bitwiseAND(1).alias("index")).distinct(), "line-lists")
     found = nodes.where(F.col("n") >= min_bytes).withColumn("line", F.shiftright("h1", 1)).join(lists.select("line").distinct(), "line")
     found = materialize(found.select("line", "node", "h1", "h2", "first", "n", "c1", "c2"), "line-candidates")
-    lists = lists.join(found.select("line", "node", "n", "c1", "c2"), "line").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
-    lists = materialize(lists, "line-lists")
+    joined = lists.join(found.select("line", "node", "n", "c1", "c2"), "line").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
+    raw, lists = lists, materialize(joined, "line-lists")
+    discard(raw)
     wanted = spark.sparkContext.broadcast(sketch(found.select("h1")))
     texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, line binary, parts array<long>, " + ", ".join(f"{c} long" for c in ODD))
     texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "line", "parts", *ODD), "line-texts")
@@ -267,8 +268,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     star = lists.alias("x").join(hubs.select("key", "hub.*").alias("y"), "key").where("x.node <> y.node").where(_close("x", "y", max_edits))
     star = materialize(star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "line-star")
     verify = _verify(max_edits, per_edit)
-    links = _verified(texts, star, verify)
-    label = components(links)
+    near = _verified(texts, star, verify)
+    label = components(near)
     own = lists.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
     own = own.join(mixed.select("key"), "key").join(texts.withColumn("line", F.col("line").cast("string")), "node")
@@ -278,8 +279,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     # An edit of a byte edits one character at most: pairs that are too far apart as characters never leave the join.
     rest = rest.where(F.levenshtein("x.line", "y.line", max_edits) >= 0)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(texts, materialize(rest, "line-rest"), verify))
-    label = materialize(components(links).withColumnRenamed("id", "node"), "line-labels")
+    rest = materialize(rest, "line-rest")
+    more = _verified(texts, rest, verify)
+    discard(own, lists, texts, star, rest)
+    label = materialize(components(near.unionByName(more)).withColumnRenamed("id", "node"), "line-labels")
+    discard(near, more)
 
     linked = found.select("node", "h1", "h2", "first").join(label, "node")
     kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
@@ -289,6 +293,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     wanted = spark.sparkContext.broadcast(sketch(named.select("h1")))
     gone = docs.mapInArrow(_lines(min_bytes, False, wanted), columns).join(named, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
     gone = materialize(gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone")), "line-gone")
+    discard(nodes, found, label, linked, named)
 
     touched = in_sketch(spark, sketch(gone.select("t")))(F.col("t"))
     done = whole.where(touched).alias("d").join(gone.hint("merge").alias("g"), F.expr("d.id <=> g.id and d.t = g.t"), "left").select("d.id", "d.text", "g.gone", f"d.{kept_too}")

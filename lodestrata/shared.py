@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,14 +46,21 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, survives lost executors, has a known size.
+#: What a query shuffled is deleted when it is done, and not some time after the driver's next garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    What the write shuffled is deleted when it is done, and not some time after the driver's next garbage collection.
-    """
+
+def gathered(df: DataFrame) -> list[Row]:
+    """The rows of ``df``, which are few; what was shuffled for them is deleted."""
+    with setting(df.sparkSession, CLEANUP, "true"):
+        return df.collect()
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a written table: cuts the lineage, survives lost executors, has a known size.  What the write shuffled is deleted."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._written_at = path

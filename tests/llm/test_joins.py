@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import time
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm import jaccard
 from lodestrata.llm.decontam import find_passages, proximity_matches
 from lodestrata.llm.jaccard import similar_components
+from lodestrata.llm.lines import dedup_lines
+from lodestrata.shared import shared_dir
 
 FOLD = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -73,6 +76,36 @@ def test_shuffle_files_go_with_their_write(spark):
     assert len(left()) <= 1  # only what count() itself shuffled, a row a partition
 
 
+def left_behind(spark, make):
+    """Names of the written tables that are left when ``make`` returns, but those of components; and what it returns."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    made = make()
+    return {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} - {"components"}, made
+
+
+def test_tables_that_no_result_reads_go_and_prefixes_are_written_once(spark, monkeypatch):
+    rng, held, write = random.Random(4), [], jaccard.materialize
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(90, texts[3]), (91, texts[5] + " more")]
+
+    def recorded(df, tag):
+        out = write(df, tag)
+        if "prefix" in out.columns:
+            held.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", recorded)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left, kept = left_behind(spark, lambda: jaccard.keep_first(frame, size=5, percent=80))
+    assert left == {"copies"} and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
+    assert dict(held)["prefixes"] == 32 and sum(n for tag, n in held if tag != "prefixes") <= 3
+    left, found = left_behind(spark, lambda: similar_components(frame, size=5, percent=80))
+    assert left == {"rows", "classes"} and {r["doc_id"]: r["component_id"] for r in found.collect()} == {**{i: i for i in range(30)}, 90: 3, 91: 5}
+    left, lines = left_behind(spark, lambda: dedup_lines(frame))
+    assert left == {"line-gone"} and {r["doc_id"] for r in lines.collect() if r["removed"]} == {90}
+
+
 def test_members_of_long_lists_share_a_part():
     rng = np.random.default_rng(4)
     for percent in (80, 90, 95, 100):
