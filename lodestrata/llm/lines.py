@@ -41,7 +41,7 @@ _VALUES = np.random.default_rng(77003).integers(1, 1 << 63, (2, 256), dtype=np.u
 #: Bytes are counted in 14 classes, seven to a number, each in its own eight bits.
 LANES = 7
 _CLASS = np.random.default_rng(5501).integers(0, 2 * LANES, 256)
-_UNITS = [np.where(_CLASS // LANES == half, U(1) << (U(8) * (_CLASS % LANES).astype(np.uint64)), U(0)) for half in range(2)]
+_UNITS = np.stack([np.where(_CLASS // LANES == half, U(1) << (U(8) * (_CLASS % LANES).astype(np.uint64)), U(0)) for half in range(2)], axis=1)
 _MASK = U((1 << 8 * LANES) - 1)
 _BIAS = sum(128 << 8 * k for k in range(LANES))
 #: Pairs of neighbouring bytes fall into 256 classes; a line has a bit for each: whether it has an odd number of them.
@@ -76,30 +76,43 @@ class _Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def _lines(min_bytes: int, counts: bool, wanted=None):
-    """Of every line that isn't blank: id, t, place, h1, h2, and with ``counts`` n and its byte counts (of lines of min_bytes)."""
-    names = ["id", "t", "place", "h1", "h2"] + ["n", "c1", "c2"] * counts
+def _packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some lines, one after another, and where each starts and ends in them."""
+    size = ends - starts
+    last = np.cumsum(size)
+    return data[np.arange(int(size.sum())) + np.repeat(starts - (last - size), size)], last - size, last
+
+
+def _not_blank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which lines have a byte that isn't ASCII white space; most have one at their start."""
+    own = ends > starts
+    own[own] = NOT_SPACE[data[starts[own]]]
+    rest = np.flatnonzero(~own & (ends > starts))
+    if len(rest):
+        packed, first, _ = _packed(data, starts[rest], ends[rest])
+        own[rest] = np.logical_or.reduceat(NOT_SPACE[packed], first)
+    return own
+
+
+def _lines(wanted=None):
+    """Of every line that isn't blank: id, t, place, h1, h2, n; with ``wanted`` of those only whose h1 it may hold, without n."""
+    names = ["id", "t", "place", "h1", "h2"] + ["n"] * (wanted is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch.column(2)):
                 starts, ends, rows, numbers = split_lines(data, offsets)
-                inside = np.append(0, np.cumsum(NOT_SPACE[data]))
-                own = inside[ends] > inside[starts]
-                hashed = [_Hashes(data, k) for k in range(2)]
-                if wanted is not None:
-                    own[own] = may_hold(wanted.value, hashed[0].of(starts[own], ends[own]))
-                starts, ends, rows, numbers = starts[own], ends[own], rows[own], numbers[own]
+                first = _Hashes(data, 0).of(starts, ends)
+                # What meets a wanted hash is joined with both hashes of lines that aren't blank.
+                own = _not_blank(data, starts, ends) if wanted is None else may_hold(wanted.value, first)
+                starts, ends, rows, numbers, first = starts[own], ends[own], rows[own], numbers[own], first[own]
                 take = pa.array(row + rows)
-                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers.astype(np.int32))]
-                arrays += [pa.array(h.of(starts, ends).view(np.int64)) for h in hashed]
-                if counts:
-                    arrays.append(pa.array((ends - starts).astype(np.int32)))
-                    for unit in _UNITS:
-                        # Carries between the classes don't matter: differences of two lines' sums have none.
-                        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-                        np.cumsum(unit[data], out=sums[1:])
-                        arrays.append(pa.array(np.where(ends - starts >= min_bytes, (sums[ends] - sums[starts]) & _MASK, U(0)).view(np.int64)))
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers.astype(np.int32)), pa.array(first.view(np.int64))]
+                if wanted is None:
+                    arrays += [pa.array(_Hashes(data, 1).of(starts, ends).view(np.int64)), pa.array((ends - starts).astype(np.int32))]
+                else:
+                    packed, starts, ends = _packed(data, starts, ends)
+                    arrays.append(pa.array(_Hashes(packed, 1).of(starts, ends).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
@@ -159,8 +172,8 @@ def _odd(line: np.ndarray) -> np.ndarray:
 
 
 def _texts(min_bytes: int, groups: int, wanted):
-    """(h1, h2, line, parts, ODD) of the lines that may be wanted; parts: a hash for each group of byte values of how often each stands in the line."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary()), ("parts", pa.list_(pa.int64())), *((c, pa.int64()) for c in ODD)])
+    """(h1, h2, c1, c2, line, parts, ODD) of the lines that may be wanted; c1, c2: its byte counts by class; parts: a hash for each group of byte values of how often each stands in the line."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("line", pa.binary()), ("parts", pa.list_(pa.int64())), *((c, pa.int64()) for c in ODD)])
     group = np.random.default_rng(9029).permutation(256) % groups
     weight = np.zeros((256, groups), dtype=np.uint64)
     weight[np.arange(256), group] = mix(np.arange(1, 257, dtype=np.uint64))
@@ -172,8 +185,7 @@ def _texts(min_bytes: int, groups: int, wanted):
                 starts, ends, _, _ = split_lines(data, offsets)
                 long = ends - starts >= min_bytes
                 starts, ends = starts[long], ends[long]
-                first, second = _Hashes(data, 0), _Hashes(data, 1)
-                h, keep = np.unique(first.of(starts, ends), return_index=True)
+                h, keep = np.unique(_Hashes(data, 0).of(starts, ends), return_index=True)
                 own = may_hold(wanted.value, h)
                 h, keep = h[own], keep[own]
                 fresh = seen.new(h)
@@ -181,11 +193,16 @@ def _texts(min_bytes: int, groups: int, wanted):
                 if not len(h):
                     continue
                 lines = [data[a:b] for a, b in zip(starts, ends)]
-                parts = np.array([np.bincount(x, minlength=256).astype(np.uint64) for x in lines]) @ weight
+                held = np.array([np.bincount(x, minlength=256).astype(np.uint64) for x in lines])
+                # Carries between the classes don't matter: differences of two lines' sums have none.
+                classes = ((held @ _UNITS) & _MASK).view(np.int64)
+                parts = held @ weight
                 parts = mix(parts + mix(np.arange(1, groups + 1, dtype=np.uint64))).view(np.int64)
                 odd = np.packbits(np.array([_odd(x) for x in lines]), axis=1).view(np.int64)
                 cuts = pa.array(np.arange(0, groups * len(h) + 1, groups).astype(np.int32))
-                arrays = [pa.array(h.view(np.int64)), pa.array(second.of(starts, ends).view(np.int64)), pa.array([x.tobytes() for x in lines], pa.binary())]
+                packed, starts, ends = _packed(data, starts, ends)
+                second = _Hashes(packed, 1).of(starts, ends)
+                arrays = [pa.array(h.view(np.int64)), pa.array(second.view(np.int64)), *(pa.array(np.ascontiguousarray(classes[:, k])) for k in range(2)), pa.array([x.tobytes() for x in lines], pa.binary())]
                 arrays += [pa.ListArray.from_arrays(cuts, pa.array(parts.ravel())), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(ODD)))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -246,9 +263,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text.isNull(), text).alias("t"), text.alias("text"), rest.alias(kept_too))
     docs = whole.select("id", "t", "text")
     columns = "id long, t long, place int, h1 long, h2 long"
-    place, one = F.struct("id", "t", "place"), lambda c: F.first(c).alias(c)
-    lines = docs.mapInArrow(_lines(min_bytes, True), columns + ", n int, c1 long, c2 long")
-    nodes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), one("n"), one("c1"), one("c2"))
+    place = F.struct("id", "t", "place")
+    lines = docs.mapInArrow(_lines(), columns + ", n int")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("n").alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "line-nodes")
 
     keys = docs.select("text").mapInArrow(_keys(max_edits, per_edit, min_bytes), "key long, line long")
@@ -256,13 +273,13 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     lists = keys.withColumns({"low": F.min(line).over(same), "high": F.max(line).over(same), "indexed": F.max(F.col("line").bitwiseAND(1)).over(same)})
     lists = materialize(lists.where("low < high and indexed = 1").select("key", line.alias("line"), F.col("line").bitwiseAND(1).alias("index")).distinct(), "line-lists")
     found = nodes.where(F.col("n") >= min_bytes).withColumn("line", F.shiftright("h1", 1)).join(lists.select("line").distinct(), "line")
-    found = materialize(found.select("line", "node", "h1", "h2", "first", "n", "c1", "c2"), "line-candidates")
-    joined = lists.join(found.select("line", "node", "n", "c1", "c2"), "line").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
+    found = materialize(found.select("line", "node", "h1", "h2", "first", "n"), "line-candidates")
+    wanted = spark.sparkContext.broadcast(sketch(found.select("h1")))
+    texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, c1 long, c2 long, line binary, parts array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "c1", "c2", "line", "parts", *ODD), "line-texts")
+    joined = lists.join(found.select("line", "node", "n"), "line").join(texts.select("node", "c1", "c2"), "node").groupBy("key", "node", "n", "c1", "c2").agg(F.max("index").alias("index"))
     raw, lists = lists, materialize(joined, "line-lists")
     discard(raw)
-    wanted = spark.sparkContext.broadcast(sketch(found.select("h1")))
-    texts = docs.select("text").mapInArrow(_texts(min_bytes, 2 * max_edits + 1, wanted), "h1 long, h2 long, line binary, parts array<long>, " + ", ".join(f"{c} long" for c in ODD))
-    texts = materialize(texts.join(found.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "line", "parts", *ODD), "line-texts")
 
     hubs = lists.groupBy("key").agg(F.min(F.struct("node", "n", "c1", "c2")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = lists.alias("x").join(hubs.select("key", "hub.*").alias("y"), "key").where("x.node <> y.node").where(_close("x", "y", max_edits))
@@ -272,7 +289,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     label = components(near)
     own = lists.join(label.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high and size > 2")
-    own = own.join(mixed.select("key"), "key").join(texts.withColumn("line", F.col("line").cast("string")), "node")
+    own = own.join(mixed.select("key"), "key").join(texts.drop("c1", "c2").withColumn("line", F.col("line").cast("string")), "node")
     own = own.select("key", "node", "n", "c1", "c2", "index", "component", "line", *ODD, F.posexplode("parts").alias("group", "counts"))
     own = materialize(own.withColumn("key", F.xxhash64("key", "group", "counts")), "line-mixed")
     rest = own.alias("x").join(own.alias("y"), "key").where("x.node < y.node and x.component <> y.component and (x.index = 1 or y.index = 1)").where(_close("x", "y", max_edits)).where(_paired("x", "y", max_edits))
@@ -291,7 +308,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, per_edit: int = PER
     again = nodes.where("first <> last").select("h1", "h2", F.col("first").alias("kept")).join(linked, ["h1", "h2"], "left_anti")
     named = materialize(again.unionByName(linked), "line-kept")
     wanted = spark.sparkContext.broadcast(sketch(named.select("h1")))
-    gone = docs.mapInArrow(_lines(min_bytes, False, wanted), columns).join(named, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
+    gone = docs.mapInArrow(_lines(wanted), columns).join(named, ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
     gone = materialize(gone.groupBy("id", "t").agg(F.collect_set("place").alias("gone")), "line-gone")
     discard(nodes, found, label, linked, named)
 
