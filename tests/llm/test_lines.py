@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -110,3 +112,17 @@ def test_a_list_of_unlinked_lines_stays_linear(spark, monkeypatch):
     rows = [(d, "x" * 30 + "".join(rng.choice("abcdefghijklmnop") for _ in range(60))) for d in range(300)]
     assert all(not r["removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert made["line-lists"] >= 300 and made["line-rest"] <= 300 and made["line-star"] <= 300
+
+
+def test_second_hashes_are_of_wanted_lines_only(monkeypatch):
+    """What is gathered again equals what all lines give, and no other line's bytes are hashed twice; blank lines are none."""
+    texts = ["first line\n \t\n  indented\n\nlast", None, "", "\n", " x\n\u00e9t\u00e9", "first line"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), pa.array(texts)], names=["id", "t", "text"])
+    (whole,) = lines._lines()(iter([batch]))
+    assert [(r["id"], r["place"], r["n"]) for r in whole.to_pylist()] == [(0, 0, 10), (0, 2, 10), (0, 4, 4), (4, 0, 2), (4, 1, 5), (5, 0, 10)]
+    again, taken, made = whole["h1"].to_pylist()[0], [], lines._Hashes
+    monkeypatch.setattr(lines, "may_hold", lambda _, h: h.view(np.int64) == again)
+    monkeypatch.setattr(lines, "_Hashes", lambda data, which: taken.append((which, len(data))) or made(data, which))
+    (found,) = lines._lines(SimpleNamespace(value=None))(iter([batch]))
+    assert found.to_pylist() == [{k: v for k, v in r.items() if k != "n"} for r in whole.to_pylist() if r["h1"] == again]
+    assert [n for which, n in taken if which == 1] == [20]
