@@ -1,12 +1,12 @@
-"""Exact top-k search by BM25: an inverted index with block-max pruning, searched shard by shard.
+"""Exact top-k search by BM25: an inverted index, searched shard by shard with thresholds.
 
 Words are runs of letters, digits and all beyond ASCII, A to Z folded, by 64-bit hash.  A shard's index holds, for
-each term, its postings (document, frequency) in document order.  Documents of a shard lie in blocks of ``BLOCK``; of
-each term and block the largest part of a score (its block maximum) is known.  A query sums its terms' maxima
-over a block: where the sum can't beat its k-th best score so far, the block is skipped, as block-max
-WAND skips to the next block; other blocks are scored in full.  Lists that hold a good part of a shard's documents
-are kept as rows of a matrix: one product gives their share of every document's score for many queries at once, so that this
-part of a block's bound is exact.  The k-th best score is carried from shard to shard of a task.
+each term, its postings (document, frequency) in document order.  Lists that hold a good part of a shard's documents
+are kept as rows of a matrix: one product in single precision gives their share of every document's score for many queries
+at once.  All postings of the other lists are added, so that every document has a score with a known bound of its error.
+Where that score, with the error added, can't reach a query's k-th best so far the document is left; the others are
+scored again in double precision.  The k-th best is carried from shard to shard of a task, and begins with that of
+the shards that are searched first, of every ``SEED`` about one.
 
 Scores use counts of the whole corpus (documents, their mean length, document frequencies), so that the best of
 the shards' best are the best of all.  Ranks: score rounded to 6 places, then doc_id (nulls last).
@@ -29,18 +29,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, chunks, hashes, spans
-from .common import materialize, records_a_batch, small_batches
+from .common import gathered, materialize, records_a_batch, small_batches
 
 K1, B = 1.2, 0.75
-BLOCK = 64
 SHARD_DOCS = 2048
 #: Terms of all queries of one block: 12 bytes each are broadcast.
 BLOCK_TERMS = 2_000_000
 MARGIN = 1e-5
 #: A list with more than this share of a shard's documents is kept as a matrix row; queries that are multiplied at a time.
 DENSE, BATCH = 1 / 32, 256
+#: Terms of the queries that are multiplied at a time, one query at least, and postings that are summed at a time.
+BATCH_TERMS, POSTINGS = 100_000, 1 << 16
+#: One shard of so many is searched first; the others only for what reaches its k-th best.
+SEED = 32
 
-_SHARD = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tfs", pa.binary())])
+_SHARD = pa.schema([("seed", pa.bool_()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tfs", pa.binary())])
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
@@ -60,7 +63,8 @@ def _shard(ids: list, sizes: list[int], docs: list[np.ndarray], words: list[np.n
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(word)))
     terms, counts = np.unique(word[at], return_counts=True)
-    columns = [[ids], [sizes], [_pack(terms, "<u8")], [_pack(counts, "<u4")], [_pack(doc[at], "<u2")], [_pack(tf, "<u4")]]
+    packed = _pack(terms, "<u8")
+    columns = [[zlib.crc32(packed) % SEED == 0], [ids], [sizes], [packed], [_pack(counts, "<u4")], [_pack(doc[at], "<u2")], [_pack(tf, "<u4")]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARD)], schema=_SHARD)
 
 
@@ -92,7 +96,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> the index: a row for each shard of at most SHARD_DOCS documents; written once."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_build, "ids array<long>, sizes array<int>, terms binary, counts binary, docs binary, tfs binary"), "search-index")
+    return materialize(rows.mapInArrow(_build, "seed boolean, ids array<long>, sizes array<int>, terms binary, counts binary, docs binary, tfs binary"), "search-index")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +123,18 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(starts - before, size)
 
 
+def _runs(sizes: np.ndarray, most: int, rows: int = 1 << 62) -> Iterator[slice]:
+    """Runs of rows whose sizes sum up to ``most`` at most, or of one row; of ``rows`` rows at most."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        last = min(max(first + 1, int(np.searchsorted(ends, before + most, side="right"))), first + rows)
+        yield slice(first, last)
+        first = last
+
+
 class Shard:
-    """A shard's postings of those terms that a block of queries has, with their block maxima."""
+    """A shard's postings of those terms that a block of queries has: frequent terms as a matrix, the others as lists."""
 
     def __init__(self, row: dict, wanted: np.ndarray, mean_size: float):
         sizes = np.array(row["sizes"], dtype=np.float64)
@@ -132,8 +146,6 @@ class Shard:
         place = np.searchsorted(terms, wanted)
         place[place == len(terms)] = 0
         has = terms[place] == wanted if len(terms) else np.zeros(len(wanted), dtype=bool)
-        self.blocks = -(-len(self.ids) // BLOCK)
-        self.width = self.blocks * BLOCK
         often = has.copy()
         often[has] = counts[place[has]] > DENSE * len(self.ids)
         rare = has & ~often
@@ -147,69 +159,102 @@ class Shard:
             return np.repeat(np.arange(len(mine)), counts[mine]), doc, tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_size)) if len(at) else np.zeros(0)
 
         number, doc, part = postings(place[often])
-        self.matrix = np.zeros((int(often.sum()), self.width))
-        self.matrix[number, doc] = part
-        number, self.docs, self.part = postings(place[rare])
-        cell = number * self.blocks + self.docs // BLOCK
-        lists = int(rare.sum())
-        self.at = np.searchsorted(cell, np.arange(lists * self.blocks + 1))
-        self.most = np.zeros(lists * self.blocks)
-        if len(cell):
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            self.most[cell[first]] = np.maximum.reduceat(self.part, first)
-        self.most = self.most.reshape(lists, self.blocks)
-
-    def dense(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each query (terms, weights) and document the score that frequent terms give."""
-        weights = np.zeros((len(queries), len(self.matrix)))
-        for q, (terms, w) in enumerate(queries):
-            row = self.row[terms]
-            weights[q, row[row >= 0]] = w[row >= 0]
-        return weights @ self.matrix
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, least: float) -> np.ndarray:
-        """Adds the rare terms' part to ``scores`` in all blocks that may reach ``least``; the documents that do."""
-        number = self.list[terms]
-        weights, number = weights[number >= 0], number[number >= 0]
-        bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + weights @ self.most[number]
-        good = (bound >= least - MARGIN) & (bound > 0)
-        some = np.flatnonzero(good)
-        if not len(some):
-            return some
-        if len(number):
-            cells = (number[:, None] * self.blocks + some[None, :]).ravel()
-            lo, hi = self.at[cells], self.at[cells + 1]
-            full = hi > lo
-            lo, hi = lo[full], hi[full]
-            at = _ranges(lo, hi)
-            w = np.repeat(np.repeat(weights, len(some))[full], hi - lo)
-            scores += np.bincount(self.docs[at], weights=self.part[at] * w, minlength=self.width)
-        return np.flatnonzero(np.repeat(good, BLOCK) & (scores > max(0.0, least - MARGIN)))
-
-
-def _search(block, mean_size: float, k: int):
+        self.parts = np.zeros((len(self.ids), int(often.sum())))
+        self.parts[doc, number] = part
+        self.rough = np.ascontiguousarray(self.parts.T, dtype=np.float32)
+        _, self.docs, self.part = postings(place[rare])
+        self.size = counts[place[rare]]
+        self.start = np.cumsum(self.size) - self.size
+
+    def scores(self, n: int, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ``n`` queries, given as (owner, term, weight) by owner, and every document: the score in single precision, and what rare terms give of it."""
+        row, number = self.row[terms], self.list[terms]
+        often, rare = np.flatnonzero(row >= 0), np.flatnonzero(number >= 0)
+        w = np.zeros((n, len(self.rough)), dtype=np.float32)
+        w[owner[often], row[often]] = weights[often]
+        used = np.flatnonzero(w.any(axis=0))
+        rough = w[:, used] @ self.rough[used] if len(used) < len(self.rough) / 2 else w @ self.rough
+        number, owner, weights = number[rare], owner[rare], weights[rare]
+        size, rest = self.size[number], np.empty(rough.shape)
+        lo, cuts = self.start[number], np.searchsorted(owner, np.arange(n + 1))
+        for some in _runs(np.diff(np.append(0, np.cumsum(size))[cuts]), POSTINGS):  # few enough to stay in the processor's cache
+            own, width = slice(cuts[some.start], cuts[some.stop]), (some.stop - some.start) * len(self.ids)
+            at = _ranges(lo[own], lo[own] + size[own])
+            cell = np.repeat((owner[own] - some.start) * len(self.ids), size[own]) + self.docs[at]
+            rest[some] = np.bincount(cell, weights=np.repeat(weights[own], size[own]) * self.part[at], minlength=width).reshape(-1, len(self.ids))
+            rough[some] += rest[some]
+        return rough, rest
+
+    def exact(self, cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The scores of (owner, document) pairs in double precision; the terms of query q are those from cuts[q] to cuts[q + 1]."""
+        row = self.row[terms]
+        often = row >= 0
+        cuts = np.append(0, np.cumsum(often))[cuts]
+        row, weights = row[often], weights[often]
+        scores, size = rest[owner, docs], cuts[owner + 1] - cuts[owner]
+        for own in _runs(size, POSTINGS):
+            at = _ranges(cuts[owner[own]], cuts[owner[own] + 1])
+            pair = np.repeat(np.arange(own.stop - own.start), size[own])
+            scores[own] += np.bincount(pair, weights=self.parts[docs[own][pair], row[at]] * weights[at], minlength=own.stop - own.start)
+        return scores
+
+
+class Best:
+    """The k best documents so far of each of some queries, and the least score that may still be one of them."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.least = k, least.copy()
+        self.score = np.full((len(least), k), -1.0)  # -1: none
+        self.null, self.ids = np.zeros(self.score.shape, dtype=bool), np.zeros(self.score.shape, dtype=np.int64)
+
+    def add(self, query: np.ndarray, score: np.ndarray, null: np.ndarray, ids: np.ndarray) -> None:
+        """``query`` ascends."""
+        some = query[np.append(True, query[1:] != query[:-1])] if len(query) else query
+        old = self.score[some] >= 0
+        query, score = np.append(np.repeat(some, old.sum(axis=1)), query), np.append(self.score[some][old], score)
+        null, ids = np.append(self.null[some][old], null), np.append(self.ids[some][old], ids)
+        order = np.lexsort((ids, null, -score, query))
+        sorted_query = query[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query)
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.score[some] = -1
+        at = query[order], rank
+        self.score[at], self.null[at], self.ids[at] = score[order], null[order], ids[order]
+        self.least[some] = np.maximum(self.least[some], self.score[some, -1])
+
+
+def _candidates(rough: np.ndarray, least: np.ndarray, error: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, document) of all scores that may be among the k best and reach ``least``; single precision differs from the score by that relative ``error`` at most."""
+    floor = lambda least, error: np.maximum((least - MARGIN) * (1 - error), np.finfo(np.float32).tiny).astype(np.float32)
+    reach = floor(least, error)
+    hit = rough >= reach[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * k)
+    if len(many):  # no score is known yet, or a low one: only what may be among the shard's own k best
+        own = np.partition(rough[many], rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+        hit[many] = rough[many] >= np.maximum(reach[many], floor(own * (1 - error[many]), error[many]))[:, None]
+    return np.divmod(np.flatnonzero(hit), rough.shape[1])
+
+
+def _search(block, least, mean_size: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, cuts, terms, weights, wanted = block.value
-        best: list[list[tuple[float, bool, int]]] = [[] for _ in names]
-        own = [slice(cuts[q], cuts[q + 1]) for q in range(len(names))]
+        best = Best(least.value, k)
+        size = np.diff(cuts)
+        error = (size + 8) * 2.0**-24 * 1.01  # of a sum of so many products of single precision, none of them negative
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row, wanted, mean_size)
-                for first in range(0, len(names), BATCH):
-                    some = range(first, min(first + BATCH, len(names)))
-                    dense = shard.dense([(terms[own[q]], weights[own[q]]) for q in some])
-                    for q in some:
-                        least, scores = best[q][k - 1][0] if len(best[q]) >= k else 0.0, dense[q - first]
-                        docs = shard.search(terms[own[q]], weights[own[q]], scores, least)
-                        if len(docs) > k:
-                            found = scores[docs]
-                            docs = docs[found >= np.partition(found, len(found) - k)[len(found) - k] - MARGIN]
-                        if len(docs):
-                            new = [(round(float(scores[i]), 6), bool(shard.null[i]), int(shard.ids[i])) for i in docs]
-                            best[q] = sorted(best[q] + new, key=lambda x: (-x[0], x[1], x[2]))[:k]
-        rows = [(q, None if null else d, s) for q, found in enumerate(best) for s, null, d in found]
+                for some in _runs(size, BATCH_TERMS, BATCH):
+                    own = slice(cuts[some.start], cuts[some.stop])
+                    owner = np.repeat(np.arange(some.stop - some.start), size[some])
+                    rough, rest = shard.scores(some.stop - some.start, owner, terms[own], weights[own])
+                    query, docs = _candidates(rough, best.least[some], error[some], k)
+                    if len(query):
+                        scores = shard.exact(cuts[some.start : some.stop + 1] - cuts[some.start], terms[own], weights[own], query, docs, rest)
+                        best.add(query + some.start, np.array([round(x, 6) for x in scores.tolist()]), shard.null[docs], shard.ids[docs])
+        query, place = np.nonzero(best.score >= 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([names[q][0] for q, _, _ in rows], pa.int64()), pa.array([names[q][1] for q, _, _ in rows], pa.int64()), pa.array([d for _, d, _ in rows], pa.int64()), pa.array([s for _, _, s in rows], pa.float64())],
+            [pa.array([names[q][0] for q in query.tolist()], pa.int64()), pa.array([names[q][1] for q in query.tolist()], pa.int64()), pa.array(best.ids[query, place], mask=best.null[query, place]), pa.array(best.score[query, place])],
             names=["number", "query_id", "doc_id", "score"],
         )
 
@@ -235,7 +280,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
     sizes = weighted.groupBy("part").agg(F.sum("size").alias("size"))  # a row a partition
     sizes = sizes.withColumn("block", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / block_terms))
     numbered = weighted.join(F.broadcast(sizes.select("part", "block")), "part")
-    found = []
+    best, found = Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()), []
     for (number,) in sizes.select("block").distinct().orderBy("block").collect():
         rows = numbered.where(F.col("block") == number).select("query", "terms", "idf").orderBy("query.number").toLocalIterator()
         names, terms, weights = [], [], []
@@ -246,12 +291,18 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
         cuts = np.cumsum([0, *map(len, terms)])
         wanted, place = np.unique(np.concatenate(terms), return_inverse=True)
         block = spark.sparkContext.broadcast((names, cuts, place, np.concatenate(weights), wanted))
-        with records_a_batch(spark, 1):  # a row of the index is a shard
-            found.append(materialize(index.mapInArrow(_search(block, total["words"] / total["n"], k), "number long, query_id long, doc_id long, score double"), "found"))
+        least, number_of = np.zeros(len(names)), {number: q for q, (number, _) in enumerate(names)}
+        for first in (True, False):
+            sent = spark.sparkContext.broadcast(least)
+            with records_a_batch(spark, 1):  # a row of the index is a shard
+                found.append(materialize(index.where(F.col("seed") == first).mapInArrow(_search(block, sent, total["words"] / total["n"], k), "number long, query_id long, doc_id long, score double"), "found"))
+            sent.unpersist()
+            if first:  # a score for each query of the block
+                for r in gathered(found[-1].withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("number", "score")):
+                    least[number_of[r["number"]]] = r["score"]
         block.unpersist()
     if not found:
         return spark.createDataFrame([], schema)
-    best = Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     merged = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", "rank", "doc_id", "score")
 

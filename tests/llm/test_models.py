@@ -1,7 +1,10 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +97,44 @@ def test_search_against_brute_force(spark, documents):
     assert search.top_k(search.build_index(frame.limit(0)), queries, 7).count() == 0
 
 
+def test_search_is_exact_where_single_precision_is_not_and_starts_from_a_threshold():
+    rng, k, n = np.random.default_rng(7), 5, 2500
+    words = [f"w{i}" for i in range(60)] + [f"r{i}" for i in range(3000)]
+    texts = [" ".join([*words[:60], *(words[60 + i] for i in rng.integers(0, 3000, 3)), *["filler"] * int(rng.integers(3000, 3040))]) for _ in range(40)]  # scores that differ by less than a float tells
+    texts += [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(n - 80)] + [texts[3]] * 38 + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(n - 1), None], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    shards = [r for b in search._build(iter([batch])) for r in b.to_pylist()]
+    assert [len(s["ids"]) for s in shards] == [2048, n - 2048]
+    counts = [Counter((t or "").split()) for t in texts]
+    df, mean = Counter(w for c in counts for w in c), sum(sum(c.values()) for c in counts) / n
+    idf = {w: math.log(1 + (n - m + 0.5) / (m + 0.5)) for w, m in df.items()}
+    queries = [*range(0, n, 50), 3, n - 2, n - 1]
+    hashed = next(search._query_terms(iter([batch.take(pa.array(queries))])))["terms"].to_pylist()
+    every = sorted(df)
+    of = dict(zip((h for [h] in next(search._query_terms(iter([pa.RecordBatch.from_arrays([pa.array(range(len(every))), pa.array(every)], names=["q", "text"])])))["terms"].to_pylist()), every))
+    weights = np.array([idf[of[h]] for terms in hashed for h in terms])
+    wanted, place = np.unique(np.array([h for terms in hashed for h in terms]).view(np.uint64), return_inverse=True)
+    block = SimpleNamespace(value=([(i, q) for i, q in enumerate(queries)], np.cumsum([0, *map(len, hashed)]), place, weights, wanted))
+
+    def found(least, own):
+        batches = (pa.RecordBatch.from_pylist([s], schema=search._SHARD) for s in own)
+        rows = [tuple(r.values()) for b in search._search(block, SimpleNamespace(value=least), mean, k)(batches) for r in b.to_pylist()]
+        return [[(-s, d) for number, _, d, s in rows if number == i] for i in range(len(queries))]
+
+    want = []
+    for q in queries:
+        scores = [(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in counts[q] if w in c), d) for d, c in enumerate(counts)]
+        want.append(sorted((-round(s, 6), d) for s, d in scores if s > 0)[:k])
+    same = lambda got: [[d for _, d in g] for g in got] == [[d for _, d in x] for x in want] and all(abs(a - b) < 2e-6 for g, x in zip(got, want) for (a, _), (b, _) in zip(g, x))
+    assert same(found(np.zeros(len(queries)), shards)) and same(found(np.zeros(len(queries)), shards[::-1]))
+    first = found(np.zeros(len(queries)), shards[1:])
+    least = np.array([-f[-1][0] if len(f) == k else 0.0 for f in first])
+    rest = found(least, shards[:1])
+    assert all(-s >= m * (1 - 1e-4) - 1e-4 for f, m in zip(rest, least) for s, _ in f)
+    assert sum(map(len, rest)) < sum(map(len, found(np.zeros(len(queries)), shards[:1])))
+    assert same([sorted(a + b)[:k] for a, b in zip(first, rest)])
+
+
 def test_license_base_phrases_against_brute_force(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     rows += [(900, None), (901, ""), (902, "Under-the MIT\nLicense. under the mit licenses; CC BY NC cc-by-nc ccbync"), (903, "x " * 60_000 + "Apache License, Version 2.0"), (None, "éunder the mit license under the mit license")]
