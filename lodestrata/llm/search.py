@@ -35,11 +35,14 @@ K1, B = 1.2, 0.75
 SHARD_DOCS = 2048
 #: Terms of all queries of one block: 12 bytes each are broadcast.
 BLOCK_TERMS = 2_000_000
+#: Queries are searched by groups of like vocabulary: so many groups, told by so many of the commonest terms, learnt from so many queries.
+GROUPS, COMMON, LEARN = 8, 128, 4096
 MARGIN = 1e-5
-#: A list with more than this share of a shard's documents is kept as a matrix row; queries that are multiplied at a time.
-DENSE, BATCH = 1 / 32, 256
+#: A list with more than this share of a shard's documents is kept as a matrix row; queries that are multiplied at a time; the cost of a cell
+#: of a product in postings: a row that has less of them, times the queries that ask for it, isn't multiplied.
+DENSE, BATCH, PRODUCT = 1 / 32, 512, 2e-3
 #: Terms of the queries that are multiplied at a time, one query at least, and postings that are summed at a time.
-BATCH_TERMS, POSTINGS = 100_000, 1 << 16
+BATCH_TERMS, POSTINGS = 200_000, 1 << 16
 #: One shard of so many is searched first; the others only for what reaches its k-th best.
 SEED = 32
 
@@ -120,7 +123,9 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one range after another."""
     size = ends - starts
     before = np.cumsum(size) - size
-    return np.arange(int(size.sum())) + np.repeat(starts - before, size)
+    at = np.repeat(starts - before, size)
+    at += np.arange(len(at))
+    return at
 
 
 def _runs(sizes: np.ndarray, most: int, rows: int = 1 << 62) -> Iterator[slice]:
@@ -142,52 +147,58 @@ class Shard:
         self.null = np.array([i is None for i in row["ids"]], dtype=bool)
         terms, counts = _unpack(row["terms"], "<u8"), _unpack(row["counts"], "<u4").astype(np.int64)
         docs, tfs = _unpack(row["docs"], "<u2"), _unpack(row["tfs"], "<u4")
-        ends = np.cumsum(counts)
+        starts = np.cumsum(counts) - counts
         place = np.searchsorted(terms, wanted)
         place[place == len(terms)] = 0
         has = terms[place] == wanted if len(terms) else np.zeros(len(wanted), dtype=bool)
-        often = has.copy()
-        often[has] = counts[place[has]] > DENSE * len(self.ids)
-        rare = has & ~often
-        # The number of a wanted term among the matrix rows, and among the lists; -1: not there.
-        self.row = np.where(often, np.cumsum(often) - 1, -1)
-        self.list = np.where(rare, np.cumsum(rare) - 1, -1)
-
-        def postings(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            at = _ranges(ends[mine] - counts[mine], ends[mine])
-            doc, tf = docs[at].astype(np.int64), tfs[at].astype(np.float64)
-            return np.repeat(np.arange(len(mine)), counts[mine]), doc, tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_size)) if len(at) else np.zeros(0)
-
-        number, doc, part = postings(place[often])
-        self.parts = np.zeros((len(self.ids), int(often.sum())))
-        self.parts[doc, number] = part
-        self.rough = np.ascontiguousarray(self.parts.T, dtype=np.float32)
-        _, self.docs, self.part = postings(place[rare])
-        self.size = counts[place[rare]]
+        has = np.flatnonzero(has)
+        has = has[np.argsort(-counts[place[has]], kind="stable")]
+        order = place[has]
+        # The number of a wanted term among the lists, the longest first; -1: not there.
+        self.number = np.full(len(wanted), -1, dtype=np.int32)
+        self.number[has] = np.arange(len(has))
+        self.size = counts[order]
         self.start = np.cumsum(self.size) - self.size
+        at = _ranges(starts[order], starts[order] + self.size)
+        self.docs, tf = docs[at].astype(np.int32), tfs[at].astype(np.float64)
+        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / mean_size)) if len(at) else np.zeros(0)
+        rows = int(np.searchsorted(-self.size, -DENSE * len(self.ids)))
+        own = slice(0, int(self.size[:rows].sum()))
+        self.parts = np.zeros((len(self.ids), rows))
+        self.parts[self.docs[own], np.repeat(np.arange(rows), self.size[:rows])] = self.part[own]
+        self.rough = np.ascontiguousarray(self.parts.T, dtype=np.float32)
 
-    def scores(self, n: int, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For ``n`` queries, given as (owner, term, weight) by owner, and every document: the score in single precision, and what rare terms give of it."""
-        row, number = self.row[terms], self.list[terms]
-        often, rare = np.flatnonzero(row >= 0), np.flatnonzero(number >= 0)
-        w = np.zeros((n, len(self.rough)), dtype=np.float32)
-        w[owner[often], row[often]] = weights[often]
-        used = np.flatnonzero(w.any(axis=0))
-        rough = w[:, used] @ self.rough[used] if len(used) < len(self.rough) / 2 else w @ self.rough
-        number, owner, weights = number[rare], owner[rare], weights[rare]
+    def scores(self, n: int, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ``n`` queries, given as (owner, term, weight) by owner, and every document: the score in single precision, and what of it isn't from
+        the product; the rows of the product by term, -1: none."""
+        number = self.number[terms]
+        rows, has = len(self.rough), np.flatnonzero(number >= 0)
+        asked = np.bincount(number[has], minlength=rows)[:rows]
+        used = np.append(asked * self.size[:rows] > n * len(self.ids) * PRODUCT, np.zeros(len(self.size) - rows, dtype=bool))
+        inside, outside = has[used[number[has]]], has[~used[number[has]]]
+        row = np.full(len(terms), -1)
+        row[inside] = number[inside]
+        used = np.flatnonzero(used)
+        column = np.zeros(rows, dtype=np.int64)
+        column[used] = np.arange(len(used))
+        w = np.zeros((n, len(used)), dtype=np.float32)
+        w[owner[inside], column[number[inside]]] = weights[inside]
+        rough = w @ (self.rough[used] if len(used) < rows else self.rough)
+        number, owner, weights = number[outside], owner[outside], weights[outside]
         size, rest = self.size[number], np.empty(rough.shape)
         lo, cuts = self.start[number], np.searchsorted(owner, np.arange(n + 1))
         for some in _runs(np.diff(np.append(0, np.cumsum(size))[cuts]), POSTINGS):  # few enough to stay in the processor's cache
             own, width = slice(cuts[some.start], cuts[some.stop]), (some.stop - some.start) * len(self.ids)
             at = _ranges(lo[own], lo[own] + size[own])
-            cell = np.repeat((owner[own] - some.start) * len(self.ids), size[own]) + self.docs[at]
-            rest[some] = np.bincount(cell, weights=np.repeat(weights[own], size[own]) * self.part[at], minlength=width).reshape(-1, len(self.ids))
+            cell, part = np.repeat((owner[own] - some.start) * len(self.ids), size[own]), np.repeat(weights[own], size[own])
+            cell += self.docs.take(at)
+            part *= self.part.take(at)
+            rest[some] = np.bincount(cell, weights=part, minlength=width).reshape(-1, len(self.ids))
             rough[some] += rest[some]
-        return rough, rest
+        return rough, rest, row
 
-    def exact(self, cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    def exact(self, cuts: np.ndarray, row: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """The scores of (owner, document) pairs in double precision; the terms of query q are those from cuts[q] to cuts[q + 1]."""
-        row = self.row[terms]
         often = row >= 0
         cuts = np.append(0, np.cumsum(often))[cuts]
         row, weights = row[often], weights[often]
@@ -235,6 +246,29 @@ def _candidates(rough: np.ndarray, least: np.ndarray, error: np.ndarray, k: int)
     return np.divmod(np.flatnonzero(hit), rough.shape[1])
 
 
+def _like(cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """An order of queries in which those with like vocabulary stand together, by size: a product then has fewer rows.  Results don't depend on it."""
+    n, (known, first) = len(cuts) - 1, np.unique(terms, return_index=True)
+    common = np.full(len(known), -1)
+    common[np.argsort(weights[first], kind="stable")[:COMMON]] = np.arange(min(COMMON, len(known)))
+
+    def has(queries: np.ndarray) -> np.ndarray:
+        at = _ranges(cuts[queries], cuts[queries + 1])
+        place, row = common[np.searchsorted(known, terms[at])], np.repeat(np.arange(len(queries)), cuts[queries + 1] - cuts[queries])
+        x = np.zeros((len(queries), COMMON), dtype=np.float32)
+        x[row[place >= 0], place[place >= 0]] = 1
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+
+    some = has(np.unique(np.linspace(0, n - 1, min(n, LEARN)).astype(np.int64)))
+    centers = some[np.linspace(0, len(some) - 1, GROUPS).astype(np.int64)]
+    for _ in range(8):
+        group = (some @ centers.T).argmax(axis=1)
+        sums = np.stack([some[group == g].sum(axis=0) if (group == g).any() else centers[g] for g in range(GROUPS)])
+        centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    group = np.concatenate([(has(np.arange(i, min(i + LEARN, n))) @ centers.T).argmax(axis=1) for i in range(0, n, LEARN)])
+    return np.lexsort((np.diff(cuts), group))
+
+
 def _search(block, least, mean_size: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, cuts, terms, weights, wanted = block.value
@@ -247,10 +281,10 @@ def _search(block, least, mean_size: float, k: int):
                 for some in _runs(size, BATCH_TERMS, BATCH):
                     own = slice(cuts[some.start], cuts[some.stop])
                     owner = np.repeat(np.arange(some.stop - some.start), size[some])
-                    rough, rest = shard.scores(some.stop - some.start, owner, terms[own], weights[own])
+                    rough, rest, rows = shard.scores(some.stop - some.start, owner, terms[own], weights[own])
                     query, docs = _candidates(rough, best.least[some], error[some], k)
                     if len(query):
-                        scores = shard.exact(cuts[some.start : some.stop + 1] - cuts[some.start], terms[own], weights[own], query, docs, rest)
+                        scores = shard.exact(cuts[some.start : some.stop + 1] - cuts[some.start], rows, weights[own], query, docs, rest)
                         best.add(query + some.start, np.array([round(x, 6) for x in scores.tolist()]), shard.null[docs], shard.ids[docs])
         query, place = np.nonzero(best.score >= 0)
         yield pa.RecordBatch.from_arrays(
@@ -288,9 +322,11 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, block_terms: int =
             names.append((r["query"]["number"], r["query"]["query_id"]))
             terms.append(np.array(r["terms"], dtype=np.int64).view(np.uint64))
             weights.append(np.array(r["idf"]))
+        order = _like(np.cumsum([0, *map(len, terms)]), np.concatenate(terms), np.concatenate(weights)).tolist()
+        names, terms, weights = [names[q] for q in order], [terms[q] for q in order], [weights[q] for q in order]
         cuts = np.cumsum([0, *map(len, terms)])
         wanted, place = np.unique(np.concatenate(terms), return_inverse=True)
-        block = spark.sparkContext.broadcast((names, cuts, place, np.concatenate(weights), wanted))
+        block = spark.sparkContext.broadcast((names, cuts, place.astype(np.int32), np.concatenate(weights), wanted))
         least, number_of = np.zeros(len(names)), {number: q for q, (number, _) in enumerate(names)}
         for first in (True, False):
             sent = spark.sparkContext.broadcast(least)
